@@ -6,12 +6,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, packing, quality_mil, quality_rules, simhash
-from lexmill.llm.common import read, remainder
+from lexmill.llm import bpe, packing, quality_mil, quality_rules, simhash, toxicity, warc
+from lexmill.llm.common import read, remainder, shared_dir
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"), remainder(4) != 2)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archive_path(shared_dir(spark))
+    warc.write_archive(read(spark, sf_dir, "pages"), path, dedup_bytes=1000)
+    return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=1024)
 
@@ -36,6 +49,15 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op5_quality_classifier, op7_quality_rules, op8_simhash_near_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc_archive, op4_token_counts, op5_quality_classifier, op7_quality_rules, op8_simhash_near_dedup, op10_best_fit_packing)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc_archive": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d, coalesce(html, '') AS h FROM pages),
+        q AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+        SELECT page_id, n AS payload_bytes, d AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
+        FROM q
+    """,
+}
