@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, packing, quality_mil, quality_rules, simhash, toxicity, warc
+from lexmill.llm import bpe, html_extract, packing, quality_mil, quality_rules, simhash, toxicity, warc
 from lexmill.llm.common import read, remainder, shared_dir
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -36,6 +36,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality_rules.apply_rules(docs, quality_rules.train(docs, read(spark, sf_dir, "labels")))
@@ -49,7 +53,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc_archive, op4_token_counts, op5_quality_classifier, op7_quality_rules, op8_simhash_near_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc_archive, op4_token_counts, op5_quality_classifier, op6_html_extraction, op7_quality_rules, op8_simhash_near_dedup, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_archive": """

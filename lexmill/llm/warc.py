@@ -31,7 +31,7 @@ def base32_sha1(hex_digest: Column) -> Column:
 
 
 def header_field(header: Column, name: str) -> Column:
-    return F.nullif(F.regexp_extract(header, rf"(?m)^{name}: ?(.*?)\r$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(header, rf"\r\n{name}: ?([^\r\n]*)\r\n", 1), F.lit(""))
 
 
 def write_archive(pages: DataFrame, path: str, dedup_bytes: int = 1000, date: str = "1970-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
