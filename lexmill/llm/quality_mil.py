@@ -7,6 +7,7 @@ gates and classifier are learned together from labels of whole texts.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -161,3 +162,12 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
     two = two_columns(docs, id_col, text_col)
     return two.mapInArrow(run, f"doc_id {two.schema['doc_id'].dataType.simpleString()}, score double")
+
+
+def with_score(docs: DataFrame, model: dict, name: str, text_col: str = "text") -> DataFrame:
+    """docs and the score of each row as a further column of the given name, worked out in Arrow batches beside the row."""
+
+    def scored(batch: pd.Series) -> pd.Series:
+        return pd.Series(scores([(t or "").encode() for t in batch], model))
+
+    return docs.withColumn(name, F.pandas_udf(scored, "double")(F.col(f"`{text_col}`").cast("string")))

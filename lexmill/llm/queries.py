@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, decontamination, html_extract, packing, quality_mil, quality_rules, simhash, toxicity, warc
+from lexmill.llm import bpe, decontamination, html_extract, packing, pii, quality_mil, quality_rules, simhash, toxicity, warc
 from lexmill.llm.common import read, remainder, shared_dir
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -25,6 +25,10 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=1024)
 
@@ -57,7 +61,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc_archive, op4_token_counts, op5_quality_classifier, op6_html_extraction, op7_quality_rules, op8_simhash_near_dedup, op9_benchmark_decontamination, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc_archive, op3_pii_weak_supervision, op4_token_counts, op5_quality_classifier, op6_html_extraction, op7_quality_rules, op8_simhash_near_dedup, op9_benchmark_decontamination, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {
     "op9_benchmark_decontamination": r"""
