@@ -1,15 +1,68 @@
-"""A corpus pipeline over documents: quality, near duplicates, benchmark passages, personal data, packing."""
+"""A corpus pipeline over documents: quality, near duplicates, benchmark passages, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir), where docs is what the stage before returned, and works on all of it. All but the last return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexmill.llm import decontamination, packing, pii, quality_mil, simhash
+from lexmill.llm.common import materialize, read, remainder
+from lexmill.llm.queries import TOKENIZER
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts (a score of 0.3 or more); it learns from the same labels as its query."""
+    model = quality_mil.train(docs, read(spark, sf_dir, "labels"), remainder(5) != 0)
+    return quality_mil.with_score(docs, model, "__score").where(F.col("__score") >= 0.3).select(*docs.columns)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the one with the smallest doc_id."""
+    kept = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"])
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no more of the benchmark's passages than the contamination rule allows."""
+    judged = decontamination.contamination(docs, read(spark, sf_dir, "benchmark"))
+    bad = materialize(judged.where("contaminated").select(F.col("doc_id").alias("__id")).distinct(), "contaminated")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data replaced by its kind, and n_chars counted anew."""
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token pieces and their places in sequences of 2048."""
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), capacity=2048)
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("SimHash near-dedup", without_near_duplicates),
+    ("benchmark decontamination", without_benchmark),
+    ("PII", without_personal_data),
+    ("best-fit packing", packed),
+]
 
-STAGES: list = []
+#: The trained classifier and the tokenizer have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over documents, each written as Parquet and read again by the next."""
+    docs = read(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialize(docs, "stage")
     return docs
