@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lexmill.plans import graphs, quality, retrieval, texts
+
 FLAGSHIP = "hybrid_search"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {name: q for module in (retrieval, graphs, quality, texts) for name, q in module.query.queries.items()}
+ORACLE_SQL = {name: sql for module in (retrieval, graphs, quality, texts) for name, sql in module.query.sql.items()}
