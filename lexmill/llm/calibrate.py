@@ -11,7 +11,7 @@ def platt(scores: np.ndarray, labels: np.ndarray, rounds: int = 50):
     scores: one column, then slope is a number, or several. With one class only, the slope is 0 and the shift gives that class's
     smoothed rate; without rows it gives 0.5.
     """
-    columns = scores.reshape(len(labels), -1).astype(np.float64)
+    columns = (scores if scores.ndim > 1 else scores[:, None]).astype(np.float64)
     pos, neg = float((labels == 1).sum()), float((labels == 0).sum())
     prior = float(np.log((pos + 1) / (neg + 1)))
     if not pos or not neg:

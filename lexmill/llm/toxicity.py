@@ -172,9 +172,9 @@ class Scorer:
 
 
 def altered(unit: str) -> list[str]:
-    """A toxic unit with characters put between or repeated, so that training sees such spellings."""
+    """A toxic unit with characters put between, before or after it or repeated, so that training sees such spellings."""
     half = len(unit) // 2
-    return ["-".join(unit), unit[:half] + "*" + unit[half:], unit[: half + 1] + unit[half:], ".".join([unit[:2], unit[2:]])] if len(unit) > 3 else []
+    return ["-".join(unit), unit[:half] + "*" + unit[half:], unit[: half + 1] + unit[half:], ".".join([unit[:2], unit[2:]]), "a" + unit, unit + "s"] if len(unit) > 3 else []
 
 
 def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 30) -> tuple[np.ndarray, float]:
