@@ -37,11 +37,12 @@ def matches_with_places(text: Column, pattern: str) -> Column:
 
 def citation_mentions(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, kind, start, end, raw and normalized of each citation; a later shape gives way to an earlier one that it overlaps."""
-    taken = F.array().cast("array<struct<start:int,end:int,match:string,kind:string>>")
+    shapes = []
     for kind, pattern in CITATION_SHAPES:
-        fresh = F.transform(matches_with_places(F.col(text_col), pattern), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("match"), F.lit(kind).alias("kind")))
-        before = taken
-        taken = F.concat(before, F.filter(fresh, lambda m: ~F.exists(before, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))))
+        shapes.append(F.transform(matches_with_places(F.col(text_col), pattern), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("match"), F.lit(kind).alias("kind"))))
+    none = F.array().cast("array<struct<start:int,end:int,match:string,kind:string>>")
+    clear = lambda acc, m: ~F.exists(acc, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+    taken = F.aggregate(F.concat(*shapes), none, lambda acc, m: F.when(clear(acc, m), F.concat(acc, F.array(m))).otherwise(acc))
     rows = df.where(F.col(text_col).contains("ORS")).select(F.col(id_col), F.explode(taken).alias("m"))
     normal = F.trim(F.regexp_replace(F.regexp_replace("m.match", r"\s+", " "), r"\s*\(", "("))
     return rows.select(id_col, F.col("m.kind").alias("kind"), F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.match").alias("raw"), normal.alias("normalized"))

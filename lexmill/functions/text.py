@@ -114,7 +114,7 @@ def relative_path(path: Column) -> Column:
     """A clean relative upload path: forward slashes, no empty or dot parts; null for absolute paths and ones that climb."""
     parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda p: (F.trim(p) != "") & (p != "."))
     bad = F.exists(parts, lambda p: p == "..") | path.startswith("/") | F.regexp_like(path, F.lit("^[A-Za-z]:"))
-    return F.when(~bad & (F.size(parts) > 0), F.array_join(F.transform(parts, F.trim), "/"))
+    return F.when(~bad & (F.size(parts) > 0), F.array_join(F.transform(parts, lambda p: F.trim(p)), "/"))
 
 
 def first_clause(text: Column) -> Column:

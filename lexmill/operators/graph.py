@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df cut off from its lineage by a checkpoint in the folder that the session names (a temporary one where it names none, as in tests)."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """edges (src, dst, type) and their reverses."""
     return edges.select("src", "dst", "type").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type")).distinct()
@@ -43,19 +52,19 @@ def shortest_path(edges: DataFrame, source, target, longest: int = 6) -> DataFra
         if hop == longest or hit.count():
             return hit
         step = frontier.join(near, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        frontier = step.join(seen, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")).checkpoint()
+        frontier = stored(step.join(seen, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")))
         seen = seen.union(frontier.select("node"))
     return hit
 
 
 def closure(edges: DataFrame, deepest: int = 10) -> DataFrame:
     """node, ancestor and depth over child -> parent edges (src, dst), each node its own ancestor at depth 0; stops when nothing is new."""
-    step = edges.select(F.col("src").alias("child"), F.col("dst").alias("parent")).distinct()
+    step = stored(edges.select(F.col("src").alias("child"), F.col("dst").alias("parent")).distinct())
     found = step.select(F.col("child").alias("node")).union(step.select("parent")).distinct().select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
     frontier = found
     for depth in range(1, deepest + 1):
         up = frontier.join(step, F.col("ancestor") == F.col("child")).select("node", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
-        frontier = up.join(found, ["node", "ancestor"], "left_anti")
+        frontier = stored(up.join(found, ["node", "ancestor"], "left_anti"))
         if frontier.isEmpty():
             break
         found = found.union(frontier)

@@ -48,7 +48,7 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 def markdown_registry(spark: SparkSession, path: str) -> DataFrame:
     """Rows of the pipe-delimited tables in a Markdown catalogue, as arrays of trimmed cells; rulers and other lines are left out."""
     lines = spark.read.text(path).where(F.trim("value").startswith("|"))
-    cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|", -1), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|", -1), lambda c: F.trim(c))
     return lines.select(cells.alias("cells")).where(~F.forall("cells", lambda c: F.regexp_like(c, F.lit("^:?-+:?$"))))
 
 
