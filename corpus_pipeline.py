@@ -23,17 +23,35 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality_mil.with_score(docs, model, "__score").where(F.col("__score") >= 0.3).select(*docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key that tells rows with one doc_id and different texts apart."""
+    return docs.withColumn("__key", F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")))
+
+
+def only(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows of docs (left_semi) in keys or (left_anti) not in keys, which have a column `key`."""
+    k = keys.select(F.col("key.doc_id").alias("__i"), F.col("key.h").alias("__h"))
+    return docs.join(k, F.col("__key.doc_id").eqNullSafe(F.col("__i")) & (F.col("__key.h") == F.col("__h")), how)
+
+
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id."""
-    kept = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each near-duplicate group: the one with the smallest doc_id. Of equal rows one stays."""
+    named = keyed(docs)
+    marked = simhash.near_duplicates(named, id_col="__key").select(F.col("doc_id").alias("key"), "component_id")
+    marked = materialize(marked.groupBy("key").agg(F.min("component_id").alias("component"), F.count("*").alias("n")), "groups")
+    stays = F.col("key") == F.col("component")
+    kept = only(named, marked.where(~stays), "left_anti")
+    several = marked.where(stays & (F.col("n") > 1))
+    once = only(kept, several, "left_anti")
+    return once.unionByName(only(kept, several, "left_semi").dropDuplicates(["__key"])).select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no more of the benchmark's passages than the contamination rule allows."""
-    judged = decontamination.contamination(docs, read(spark, sf_dir, "benchmark"))
-    bad = materialize(judged.where("contaminated").select(F.col("doc_id").alias("__id")).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    named = keyed(docs)
+    judged = decontamination.contamination(named, read(spark, sf_dir, "benchmark"), id_col="__key")
+    bad = materialize(judged.where("contaminated").select(F.col("doc_id").alias("key")).distinct(), "contaminated")
+    return only(named, bad, "left_anti").select(*docs.columns)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
