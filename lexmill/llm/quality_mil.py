@@ -142,7 +142,7 @@ def scores(texts: list[bytes], model: dict) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, condition=None, max_rows: int = 3000, max_chars: int = 200_000) -> dict:
+def train(docs: DataFrame, labels: DataFrame, condition=None, max_rows: int = 3000, max_chars: int = 50_000) -> dict:
     """The model learned from a bounded sample: about max_rows labelled texts of at most max_chars whose doc_id meets the condition."""
     return fit(labelled_sample(docs, labels, "quality", F.lit(True) if condition is None else condition, max_rows, max_chars))
 

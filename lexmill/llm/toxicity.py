@@ -177,7 +177,7 @@ def altered(unit: str) -> list[str]:
     return ["-".join(unit), unit[:half] + "*" + unit[half:], unit[: half + 1] + unit[half:], ".".join([unit[:2], unit[2:]]), "a" + unit, unit + "s"] if len(unit) > 3 else []
 
 
-def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 30) -> tuple[np.ndarray, float]:
+def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, rounds: int = 30) -> tuple[np.ndarray, float]:
     """A linear support vector machine with squared hinge loss, by Newton steps over its support vectors."""
     x1 = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     w = np.zeros(x1.shape[1])
@@ -273,7 +273,7 @@ def train_on(sample: list[tuple[str, int]], most_units: int = 12_000) -> Scorer:
     return scorer
 
 
-def train(docs: DataFrame, labels: DataFrame, condition=None, max_rows: int = 3000, max_chars: int = 200_000) -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, condition=None, max_rows: int = 3000, max_chars: int = 50_000) -> Scorer:
     """The machine fitted on a bounded sample: about max_rows labelled texts of at most max_chars whose doc_id meets the condition."""
     return train_on(labelled_sample(docs, labels, "toxic", F.lit(True) if condition is None else condition, max_rows, max_chars))
 
