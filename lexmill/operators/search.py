@@ -141,3 +141,45 @@ def rerank(candidates: DataFrame, relevance: DataFrame, head: int) -> DataFrame:
     joined = candidates.join(F.broadcast(chosen), "id", "left")
     bucket = F.when(F.col("exact"), 0).when(F.col("reranked").isNotNull(), 1).otherwise(2)
     return joined.select("id", F.when(F.col("exact"), F.greatest("score", F.lit(100.0))).otherwise(F.coalesce("reranked", "score")).alias("score"), bucket.alias("bucket"))
+
+
+def candidate_window(limit: int, offset: int = 0, rerank: int | None = None, most: int = 250) -> tuple[int, int]:
+    """How many candidates to keep, and how many to take before graph features are added."""
+    asked = min(limit + offset, most)
+    kept = min(max(limit * 4 if rerank is None else rerank, asked), most)
+    return kept, max(min(2 * kept, most), asked)
+
+
+def legal_boosts(rows: DataFrame, history: bool = False) -> DataFrame:
+    """rows with `boost`: what exactness, sources, status, hierarchy, kind, links and warnings add to a score.
+
+    rows: exact, source_backed, primary_law, commentary (booleans), status, kind, weight (of the authority), citations, links, warnings (numbers).
+    """
+    yes = lambda c, v: F.when(F.col(c), v).otherwise(0.0)
+    links = lambda c, v: v * F.greatest(F.log10(F.col(c).cast("double")), F.lit(0.0))
+    old = F.lower(F.coalesce("status", F.lit(""))).isin("repealed", "renumbered", "stale")
+    parts = [
+        yes("exact", 50.0), yes("source_backed", 1.0), F.when(F.col("status") == "active", 0.5).otherwise(0.0), F.coalesce(F.col("weight"), F.lit(0.0)),
+        F.when(F.col("primary_law"), 0.35).when(F.col("commentary"), -0.1).otherwise(0.0), F.when(F.col("kind") == "provision", 0.35).when(F.col("kind") == "chunk", -0.2).otherwise(0.0),
+        F.coalesce(links("citations", 0.2), F.lit(0.0)), F.coalesce(links("links", 0.25), F.lit(0.0)), -0.5 * F.coalesce(F.col("warnings"), F.lit(0)), F.when(old & ~F.lit(history), -2.0).otherwise(0.0),
+    ]
+    return rows.withColumn("boost", reduce(lambda a, b: a + b, parts))
+
+
+def expansion_boost(text: Column, terms: list[str]) -> Column:
+    """0.2 for each expanded term that a text holds, at most 0.8."""
+    low = F.lower(text)
+    return F.least(F.lit(0.2) * sum((F.contains(low, F.lit(t.lower())).cast("int") for t in terms), F.lit(0)), F.lit(0.8))
+
+
+def search_request(docs: DataFrame, id_col: str, text_col: str, terms: list[str], features: DataFrame, limit: int, offset: int = 0, where: Column | None = None) -> DataFrame:
+    """A page of a search: early filters, lexical candidates, boosts from features (id and the columns of legal_boosts), order, page.
+
+    Only the candidate window meets in one task.
+    """
+    _, window = candidate_window(limit, offset)
+    rows = docs if where is None else docs.where(where)
+    found = bm25(rows, id_col, text_col, terms).orderBy(F.desc("score"), "id").limit(window)
+    ranked = top_ranks(found, "score", window, "rank").withColumn("base", rank_score(2.0, F.col("rank")))
+    boosted = legal_boosts(ranked.join(features, "id")).withColumn("total", F.col("base") + F.col("boost"))
+    return boosted.select("id", "base", "boost", "total").orderBy(F.desc("total"), "id").offset(offset).limit(limit)

@@ -139,3 +139,23 @@ def query_intents(t):
     words = F.array(*[F.lit(x) for x in ("definition of ", "within 30 days ", "penalty for ", "notice to ", "zzz ")])
     q = F.concat(F.get(words, (F.col("doc_id") % 5).cast("int")), F.col("doc_id").cast("string"))
     return t("labels").select("doc_id", search.intent(q).alias("intent"))
+
+
+@query(
+    f"""WITH {BM25.replace("FROM documents)", "FROM documents WHERE doc_id % 3 <> 2)")},
+    top AS (SELECT id, 2.0::DOUBLE / sqrt(row_number() OVER (ORDER BY score DESC, id)) AS base FROM (SELECT * FROM lex ORDER BY score DESC, id LIMIT 160)),
+    l2 AS (SELECT d.doc_id AS id, d.n_chars, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)),
+    b AS (SELECT id, base, (CASE WHEN id % 50 = 0 THEN 50 ELSE 0 END) + (CASE WHEN quality = 1 THEN 1 ELSE 0 END) + (CASE WHEN id % 4 > 0 THEN 0.5::DOUBLE ELSE -2 END) + 0.1::DOUBLE * (id % 5)
+       + (CASE WHEN id % 7 = 0 THEN 0.35::DOUBLE WHEN id % 7 = 1 THEN -0.1::DOUBLE ELSE 0 END) + (CASE WHEN id % 2 = 0 THEN 0.35::DOUBLE ELSE -0.2::DOUBLE END)
+       + 0.2::DOUBLE * log10(id % 10 + 1) + 0.25::DOUBLE * log10(n_chars) - 0.5::DOUBLE * (id % 3) AS boost FROM top JOIN l2 USING (id))
+    SELECT id, round(base, 6) AS base, round(boost, 6) AS boost, round(base + boost, 6) AS total FROM b ORDER BY base + boost DESC, id LIMIT 20"""
+)
+def search_request(t):
+    """A page of a search with early filters and all boosts."""
+    key = F.col("doc_id")
+    facts = t("documents").join(t("labels").select("doc_id", "quality"), "doc_id", "left").select(
+        key.alias("id"), (key % 50 == 0).alias("exact"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("source_backed"), F.when(key % 4 == 0, "Repealed").otherwise("active").alias("status"), (0.1 * (key % 5)).alias("weight"),
+        (key % 7 == 0).alias("primary_law"), (key % 7 == 1).alias("commentary"), F.when(key % 2 == 0, "provision").otherwise("chunk").alias("kind"), (key % 10 + 1).alias("citations"), F.col("n_chars").alias("links"), (key % 3).alias("warnings"),
+    )
+    found = search.search_request(t("documents"), "doc_id", "text", TERMS, facts, 20, where=key % 3 != 2)
+    return found.select("id", *[F.round(c, 6).alias(c) for c in ("base", "boost", "total")])

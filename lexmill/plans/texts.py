@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.functions import extract, text
-from lexmill.operators import chunking
+from lexmill.functions import extract, history, text
+from lexmill.operators import chunking, provisions as provision_trees
 from lexmill.plans.registry import Registry
 from lexmill.sources import pages
 
@@ -100,3 +100,43 @@ def page_hosts(t):
 def chunk_budgets(t):
     rows = t("orders").select(F.when(F.col("o_orderkey") % 2 == 0, "full_statute").otherwise("penalty_block").alias("kind"), (2018 + F.col("o_orderkey") % 5).cast("int").alias("year")).distinct()
     return rows.withColumn("tokens", chunking.budget(F.col("kind"), F.col("year")))
+
+
+NOTE = """(SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'Section becomes operative on January ' || (p_partkey % 28 + 1) || ', 2020. ' WHEN 1 THEN 'Formerly ' || (p_partkey % 90 + 10) || '.010; ' WHEN 2 THEN 'Repealed by 2015 c.' || (p_partkey % 700 + 1) || ' §2. ' ELSE 'The sunset applies to fees. ' END || '1999 c.' || (p_partkey % 9 + 1) AS t FROM part)"""
+
+
+def notes(t):
+    k = F.col("p_partkey")
+    n = lambda c: c.cast("string")
+    first = F.when(k % 4 == 0, F.concat(F.lit("Section becomes operative on January "), n(k % 28 + 1), F.lit(", 2020. "))).when(k % 4 == 1, F.concat(F.lit("Formerly "), n(k % 90 + 10), F.lit(".010; "))).when(k % 4 == 2, F.concat(F.lit("Repealed by 2015 c."), n(k % 700 + 1), F.lit(" §2. "))).otherwise(F.lit("The sunset applies to fees. "))
+    return t("part").select(k.alias("id"), F.concat(first, F.lit("1999 c."), n(k % 9 + 1)).alias("t"))
+
+
+@query(
+    f"""SELECT id, 'operative' AS effect_type, '2020-01-' || lpad((id % 28 + 1)::VARCHAR, 2, '0') AS operative_date FROM {NOTE} WHERE id % 4 = 0 UNION ALL SELECT id, 'repeal', NULL FROM {NOTE} WHERE id % 4 = 2
+    UNION ALL SELECT id, unnest(['sunset', 'applies_to']), NULL FROM {NOTE} WHERE id % 4 = 3"""
+)
+def temporal_effects(t):
+    return history.temporal_effects(notes(t), "id", "t").select("id", "effect_type", "operative_date")
+
+
+@query(f"SELECT id, 'formerly' AS lineage_type, (id % 90 + 10) || '.010' AS other FROM {NOTE} WHERE id % 4 = 1 UNION ALL SELECT id, 'repealed_by', '2015 c.' || (id % 700 + 1) FROM {NOTE} WHERE id % 4 = 2")
+def lineage_events(t):
+    return history.lineage_events(notes(t), "id", "t")
+
+
+@query(f"SELECT id, '1999 c.' || (id % 9 + 1) AS citation, 1999 AS year, (id % 9 + 1)::INT AS chapter FROM {NOTE} UNION ALL SELECT id, '2015 c.' || (id % 700 + 1) || ' §2', 2015, (id % 700 + 1)::INT FROM {NOTE} WHERE id % 4 = 2")
+def session_laws(t):
+    return history.session_laws(notes(t), "id", "t")
+
+
+@query(
+    """SELECT o_orderkey AS id, unnest(range(0, 4))::INT AS "order", unnest(['1', '1.a', '1.b', '2']) AS path, unnest([1, 2, 2, 1])::INT AS depth,
+    unnest(['A person shall file.', 'Within ' || (o_custkey % 30 + 1) || ' days; and', 'In writing.', 'Fee: $' || (o_orderkey % 100)]) AS text FROM orders"""
+)
+def provision_tree(t):
+    """Sections as trees of labelled parts."""
+    n = lambda c: c.cast("string")
+    body = F.concat(F.lit("(1) A person shall file.\n(a) Within "), n(F.col("o_custkey") % 30 + 1), F.lit(" days; and\n(b) In\nwriting.\n(2) Fee: $"), n(F.col("o_orderkey") % 100))
+    rows = provision_trees.provision_tree(t("orders").select(F.col("o_orderkey").alias("id"), body.alias("t")), "id", "t")
+    return rows.select("id", "order", F.array_join("path", ".").alias("path"), "depth", "text")

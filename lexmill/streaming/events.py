@@ -13,13 +13,13 @@ def event_stream(spark: SparkSession, path: str, schema, files_a_batch: int = 1)
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """window_start, event_type, n and total: events by window; rows later than the watermark are left out of closed windows."""
-    grouped = events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    grouped = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return grouped.select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
 
 
 def deduplicated(events: DataFrame, key: str = "event_id", late: str = "2 hours") -> DataFrame:
     """Each key once, remembered only as long as rows may come late."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
 def upsert_latest(events: DataFrame, path: str, checkpoint: str, key: str, order: list[str]) -> StreamingQuery:

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from lexmill.functions import extract, text
-from lexmill.operators import checks, chunking, graph, loading, rules, search
+from lexmill.operators import checks, chunking, graph, loading, provisions, rules, search
 from lexmill.sources import pages
 
 
@@ -71,3 +71,11 @@ def test_registry(spark, tmp_path):
     assert [r["cells"] for r in rows.collect()] == [["id", "name"], ["a", "A"], ["a", ""]]
     table = rows.where(F.col("cells")[0] != "id").select(F.col("cells")[0].alias("id"), F.col("cells")[1].alias("name"))
     assert {r["problem"] for r in pages.registry_problems(table, "id", ["name"]).collect()} == {"missing name", "repeated id"}
+
+
+def test_provision_paths():
+    text = "(1)(a) First\nmore\n(A) sub\n(i) numeral\n(ii) next\n(b) Second\n(2) Third\n(2) again\nend"
+    got = [(".".join(p["path"]), p["text"], p["implied"]) for p in provisions.parse_section(text)]
+    assert got == [("1", "", True), ("1.a", "First more", False), ("1.a.A", "sub", False), ("1.a.A.i", "numeral", False), ("1.a.A.ii", "next", False), ("1.b", "Second", False), ("2", "Third", False), ("2_v2", "again end", False)]
+    assert [".".join(p["path"]) for p in provisions.parse_section("(h) x\n(i) y\n(j) z")] == ["h", "i", "j"]
+    assert provisions.parse_section("") == [] and provisions.parse_section(None) == []
