@@ -13,7 +13,7 @@ def stored(df: DataFrame) -> DataFrame:
     """df cut off from its lineage by a checkpoint in the folder that the session names (a temporary one where it names none, as in tests)."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
