@@ -14,6 +14,8 @@ from lexmill.llm import decontamination, packing, pii, quality_mil, simhash
 from lexmill.llm.common import materialize, read, remainder
 from lexmill.llm.queries import TOKENIZER
 
+#: Keys of removed documents that may be broadcast, a few dozen bytes each; more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -29,8 +31,9 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def only(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """Rows of docs (left_semi) in keys or (left_anti) not in keys, which have a column `key`."""
+    """Rows of docs (left_semi) in keys or (left_anti) not in keys, a stored table with a column `key`. A bounded number of keys is broadcast, so that whole texts need no shuffle."""
     k = keys.select(F.col("key.doc_id").alias("__i"), F.col("key.h").alias("__h"))
+    k = F.broadcast(k) if k.count() <= BROADCAST_KEYS else k
     return docs.join(k, F.col("__key.doc_id").eqNullSafe(F.col("__i")) & (F.col("__key.h") == F.col("__h")), how)
 
 
