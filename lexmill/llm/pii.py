@@ -124,20 +124,29 @@ def spans(text: Column, kind: str, pattern: str, needed: Column, keep) -> Column
     return F.when(F.size(matches) > 0, folded).otherwise(F.array().cast(empty))
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and found: all base spans and other candidates of each row, stored."""
-    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    text = F.col("text")
-    has_digit = F.regexp_like(text, F.lit("[0-9]"))
+def all_spans(text: Column, has_digit: Column) -> Column:
+    """All base spans and other candidates of a text, in one array."""
     lists = []
     for kind in KINDS:
         plain, wide = NEEDED[kind]
-        needed = (text.contains(plain) if plain else F.lit(True)) & (F.lit(True) if kind == "email" else F.col("has_digit"))
-        # a number that cannot be a card is none: only base spans of the pattern, and wrong check digits with a card's length
+        needed = (text.contains(plain) if plain else F.lit(True)) & (F.lit(True) if kind == "email" else has_digit)
+        # a number without a card's or a phone's length is no candidate
         near = {"card": lambda m: F.length(digits(m)).between(13, 19), "phone": lambda m: F.length(digits(m)).between(9, 15)}.get(kind, lambda m: F.lit(True))
         lists.append(spans(text, kind, BASE[kind], needed, near))
-        lists.append(spans(text, kind, WIDE[kind], F.regexp_like(text, F.lit(wide)) & (F.lit(True) if kind in ("email", "ip") else F.col("has_digit")), lambda m: F.lit(True)))
-    return materialize(texts.withColumn("has_digit", has_digit).select("doc_id", F.concat(*lists).alias("found")), "pii")
+        lists.append(spans(text, kind, WIDE[kind], F.regexp_like(text, F.lit(wide)) & (F.lit(True) if kind in ("email", "ip") else has_digit), lambda m: F.lit(True)))
+    return F.concat(*lists)
+
+
+def with_candidates(df: DataFrame, text_col: str) -> DataFrame:
+    """df with __found: the candidates of its texts, null texts having none."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return df.withColumn("__text", text).withColumn("__digit", F.regexp_like("__text", F.lit("[0-9]"))).withColumn("__found", all_spans(F.col("__text"), F.col("__digit")))
+
+
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and found: all base spans and other candidates of each row, stored."""
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return materialize(with_candidates(texts, "text").select("doc_id", F.col("__found").alias("found")), "pii")
 
 
 def vote_counts(found: DataFrame) -> list[dict]:
@@ -205,16 +214,25 @@ def probability(span: Column, weights: dict[tuple, float]) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
-def decide(found: DataFrame) -> DataFrame:
-    """doc_id, base and all: arrays of spans (kind number, start, end), by kind and start. Added spans never overlap base ones."""
+def learn(found: DataFrame) -> dict[tuple, float]:
+    """The span classifier's weights, from the votes on all candidates."""
     counts = vote_counts(found)
-    weights = train(counts, estimate(counts))
+    return train(counts, estimate(counts))
+
+
+def with_decided(df: DataFrame, found: str, weights: dict[tuple, float]) -> DataFrame:
+    """df with __base and __all: arrays of spans (kind number, start, end), by kind and start. Added spans never overlap base ones."""
     place = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
-    base = F.array_sort(F.transform(F.filter("found", lambda s: s["base"]), place))
-    split = found.select("doc_id", base.alias("base"), F.filter("found", lambda s: ~s["base"]).alias("rest"))
-    clear = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    added = F.when(F.size("rest") > 0, F.transform(F.filter("rest", lambda s: (probability(s, weights) >= THRESHOLD) & clear(s)), place)).otherwise(F.array().cast("array<struct<kind:int,start:int,end:int>>"))
-    return split.select("doc_id", "base", F.array_sort(F.concat("base", added)).alias("all"))
+    base = F.array_sort(F.transform(F.filter(found, lambda s: s["base"]), place))
+    split = df.withColumns({"__base": base, "__rest": F.filter(found, lambda s: ~s["base"])})
+    clear = lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    added = F.when(F.size("__rest") > 0, F.transform(F.filter("__rest", lambda s: (probability(s, weights) >= THRESHOLD) & clear(s)), place)).otherwise(F.array().cast("array<struct<kind:int,start:int,end:int>>"))
+    return split.withColumn("__all", F.array_sort(F.concat("__base", added)))
+
+
+def decide(found: DataFrame) -> DataFrame:
+    """doc_id, base and all of a stored table of candidates."""
+    return with_decided(found, "found", learn(found)).select("doc_id", F.col("__base").alias("base"), F.col("__all").alias("all"))
 
 
 def described(array: str) -> Column:
@@ -254,16 +272,12 @@ def redacted(text: Column, array: Column) -> Column:
     return F.aggregate(by_start, F.struct(F.lit(0).alias("upto"), F.array().cast("array<string>").alias("pieces")), add, whole)
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the personal data of each text replaced by its kind; all other columns, and null texts, stay.
 
-    The spans of rows with data are joined to their rows by id and a digest of the text, so rows with one id and different texts keep
-    their own, and equal rows share theirs.
+    One pass counts the votes, a second finds the spans again and replaces them in their own rows, so texts are never shuffled.
     """
-    digest = F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256)
-    key = docs.select(F.struct(F.col(f"`{id_col}`").alias("id"), digest.alias("digest")).alias("key"), F.col(f"`{text_col}`").alias("text"))
-    decided = decide(candidates(key, "key", "text")).where(F.size("all") > 0)
-    places = materialize(decided.groupBy("doc_id").agg(F.first("all").alias("__spans")).select(F.col("doc_id.id").alias("__id"), F.col("doc_id.digest").alias("__digest"), "__spans"), "spans")
-    joined = docs.withColumn("__text_digest", digest).join(places, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__text_digest") == F.col("__digest")), "left")
+    found = with_candidates(docs, text_col)
+    decided = with_decided(found, "__found", learn(found.select(F.col("__found").alias("found"))))
     text = F.col(f"`{text_col}`")
-    return joined.select(*[F.when(F.col("__spans").isNotNull(), redacted(text, F.col("__spans"))).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return decided.select(*[F.when(F.size("__all") > 0, redacted(text, F.col("__all"))).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
