@@ -35,6 +35,8 @@ DROPPED_WORDS = frozenset(
 #: A header by name is dropped unless it belongs to the article.
 HEADER_NAMES = frozenset("header site-header page-header main-header top-header global-header siteheader pageheader".split())
 CONTENT_WORDS = frozenset("article articlebody body content entry main post postbody story text".split())
+#: Elements that can be a page's container; others (paragraphs, lists, headings, tables, quotations) only lend it their text.
+CONTAINERS = frozenset("article body center div html main section td".split())
 NEVER_DROPPED = frozenset("html body main article".split())
 #: What an opening tag closes first, if open within the nearest element of the second set.
 CLOSES = {
@@ -66,6 +68,8 @@ class Page:
 
     def __init__(self, html: str):
         self.parent, self.path, self.factor = [-1], [""], [0.5]
+        # elements of one path are one text in parts
+        self.summed = [False]
         self.blocks: list[tuple[int, str, int]] = []
         self.text: list[str] = []
         self.linked = 0
@@ -143,7 +147,8 @@ class Page:
             above = self.path[number]
             self.parent.append(number)
             factor = {"article": 1.6, "main": 1.4, "body": 0.8, "html": 0.7}.get(tag, 1.0)
-            self.factor.append(factor + (0.3 if words & CONTENT_WORDS else 0))
+            self.factor.append(factor + (0.3 if words & CONTENT_WORDS else 0) if tag in CONTAINERS else 0)
+            self.summed.append(tag in ("article", "main"))
             self.path.append(above if tag in ("html", "body") else f"{above}/{'.'.join([tag, *classes])}")
             number = len(self.parent) - 1
         self.open.append((tag, number, dropped, link or tag == "a"))
@@ -170,12 +175,26 @@ class Page:
         return [int(100 * w * f) for w, f in zip(weight, self.factor)]
 
     def votes(self) -> list[tuple[str, int]]:
-        """The best paths; of elements with one path, their scores' sum. The page itself, html and body share a path and count once."""
+        """The best paths, of equal ones the shallower.
+
+        Of elements with one path the best counts (of articles their sum), so that a page's parts don't beat what holds them all; where
+        each is a single block, the path is one of paragraphs and no container. The page itself, html and body share a path.
+        """
+        held = [0] * len(self.parent)
+        for number, _, _ in self.blocks:
+            held[number] += 1
+        for k in range(len(held) - 1, 0, -1):
+            held[self.parent[k]] += held[k]
         found: dict[str, int] = {}
-        for path, score in zip(self.path, self.scores()):
+        times: dict[str, int] = {}
+        most: dict[str, int] = {}
+        for path, score, summed, n in zip(self.path, self.scores(), self.summed, held):
             if score:
-                found[path] = found.get(path, 0) + score if path else max(found.get(path, 0), score)
-        return sorted(found.items(), key=lambda x: (-x[1], x[0]))[:VOTES]
+                found[path] = found.get(path, 0) + score if summed else max(found.get(path, 0), score)
+                times[path] = times.get(path, 0) + 1
+                most[path] = max(most.get(path, 0), n)
+        containers = [(p, s) for p, s in found.items() if not p or times[p] == 1 or most[p] > 1]
+        return sorted(containers, key=lambda x: (-x[1], x[0].count("/"), x[0]))[:VOTES]
 
     def extract(self, path: str | None) -> str:
         """The blocks in elements with the path, in page order; without such text, those of the page's own best path."""
@@ -219,7 +238,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     columns are not looked at.
     """
     taken = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
-    winners = host_votes(taken).groupBy("host").agg(F.max(F.struct("score", "path"))["path"].alias("path"))
+    winners = host_votes(taken).groupBy("host").agg(F.max(F.struct("score", -F.length("path"), "path"))["path"].alias("path"))
     winners = materialize(winners, "host-paths")
     winners = F.broadcast(winners) if winners.count() <= BROADCAST_HOSTS else winners
     joined = taken.join(winners, "host", "left").select("page_id", "url", "html", "path")

@@ -281,3 +281,24 @@ def test_html(spark):
     assert got[2]["text"] == "Head & more One two bold three 2 " + "text " * 20 + "a b"
     assert (got[9]["text"], got[9]["n_chars"], got[10]["text"], got[11]["text"]) == ("", 0, "only this", "")
     assert got[2]["n_chars"] == len(got[2]["text"])
+
+
+def texts_of(spark, pages):
+    rows = [(i, f"http://{host}.example/{i}", html) for i, (host, html) in enumerate(pages)]
+    return [r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_html_leaf_blocks_are_no_containers(spark):
+    """Paragraphs with over 80 % of the text stand in the body, in a named div, as divs, and in parts; all else of the article stays."""
+    long = "running text " * 40
+    whole = f"Head {long.strip()} Sub a b {long.strip()} quoted cell"
+    rest = "<h2>Sub</h2><ul><li>a<li>b</ul>{}<blockquote>quoted</blockquote><table><tr><td>cell</table>"
+    pages = []
+    for i in range(3):
+        pages += [
+            ("flat", f"<body><nav>menu</nav><h1>Head</h1><p>{long}</p>{rest.format(f'<p>{long}</p>')}</body>"),
+            ("named", f"<body><div class=x><h1>Head</h1><p class=text>{long}</p>{rest.format(f'<p class=text>{long}</p>')}</div></body>"),
+            ("divs", f"<body><h1>Head</h1><div class=text>{long}</div>{rest.format(f'<div class=text>{long}</div>')}</body>"),
+            ("parts", f"<body><h1>Head</h1><div class=part><p>{long}</p><h2>Sub</h2></div><ul><li>a<li>b</ul><div class=part><p>{long}</p><p>quoted</p></div><p>cell</p></body>"),
+        ]
+    assert texts_of(spark, pages) == [whole] * len(pages)
