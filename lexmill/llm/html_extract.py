@@ -27,11 +27,15 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements and class, id or role words whose content is not the article's.
-DROPPED_TAGS = frozenset("aside button canvas dialog footer form head header iframe menu nav noscript object search select svg template".split())
+#: Elements whose content is never the article's, and class, id or role words and elements whose content hardly is.
+DROPPED_TAGS = frozenset("aside button canvas dialog footer head header iframe menu nav noscript object search select svg template".split())
 DROPPED_WORDS = frozenset(
     "ad ads adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion promoted recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+#: A name (whole name: a dropped word itself) is believed unless what bears it has over this share of the page's text outside links.
+PART_SHARE, WHOLE_SHARE = 0.5, 0.75
+#: An article with this share of the text is never dropped.
+ARTICLE_SHARE = 0.1
 #: A header by name is dropped unless it belongs to the article.
 HEADER_NAMES = frozenset("header site-header page-header main-header top-header global-header siteheader pageheader".split())
 CONTENT_WORDS = frozenset("article articlebody body content entry main post postbody story text".split())
@@ -50,31 +54,40 @@ CLOSES = {
 }
 
 
-def names(attributes: str) -> tuple[list[str], set[str]]:
-    """The class names, digits generalised, and the words in classes, id and role."""
-    classes, words = [], set()
+def names(attributes: str) -> tuple[list[str], set[str], list[tuple[str, str]]]:
+    """The class names, digits generalised, the words in classes, id and role, and the (name, word) that speak against the element."""
+    classes, words, against = [], set(), []
     for m in NAMED.finditer(attributes):
         value = m[2].strip("\"'").lower()
         if m[1].lower() == "class":
             classes = sorted({DIGITS.sub("#", c) for c in value.split()})
         for name in value.split():
-            words.add(name)
-            words.update(re.split(r"[-_]+", name))
-    return classes, words
+            parts = {name, *re.split(r"[-_]+", name)}
+            words |= parts
+            against += [(DIGITS.sub("#", name), w) for w in sorted(parts & DROPPED_WORDS or parts & HEADER_NAMES)]
+    if against and words & {"article", "entry", "post"}:
+        against = [(n, w) for n, w in against if w not in HEADER_NAMES]
+    return classes, words, against
 
 
 class Page:
-    """A page's block elements (parent, path, factor) and its blocks of text (element, text, characters in links)."""
+    """A page's block elements (parent, path, factor) and its blocks of text (element, text, characters in links).
+
+    An element whose names speak against it (an inline one, too) is numbered like a block and judged once the page is read.
+    """
 
     def __init__(self, html: str):
         self.parent, self.path, self.factor = [-1], [""], [0.5]
         # elements of one path are one text in parts
         self.summed = [False]
-        self.blocks: list[tuple[int, str, int]] = []
-        self.text: list[str] = []
-        self.linked = 0
-        # of each open element: tag, its block element's number, dropped, in a link
-        self.open: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+        # names against an element; main and article elements
+        self.against: dict[int, list[tuple[str, str]]] = {}
+        self.wholes: list[tuple[int, str]] = []
+        # of each block: its element and its pieces (element, text, in a link)
+        self.read: list[tuple[int, list[tuple[int, str, bool]]]] = []
+        self.text: list[tuple[int, str, bool]] = []
+        # of each open element: tag, its number, its block element's number, dropped, in a link
+        self.open: list[tuple[str, int, int, bool, bool]] = [("", 0, 0, False, False)]
         at = 0
         while m := TOKEN.search(html, at):
             if m.start() > at:
@@ -93,22 +106,17 @@ class Page:
         if at < len(html):
             self.data(html[at:])
         self.flush()
+        self.judge()
 
     def data(self, text: str) -> None:
-        _, _, dropped, link = self.open[-1]
+        _, number, _, dropped, link = self.open[-1]
         if not dropped:
-            text = unescape(text) if "&" in text else text
-            self.text.append(text)
-            if link:
-                self.linked += len(text.strip())
+            self.text.append((number, unescape(text) if "&" in text else text, link))
 
     def flush(self) -> None:
         if self.text:
-            text = " ".join("".join(self.text).split())
-            if text:
-                self.blocks.append((self.open[-1][1], text, self.linked))
+            self.read.append((self.open[-1][2], self.text))
             self.text = []
-        self.linked = 0
 
     def close_to(self, k: int) -> None:
         self.flush()
@@ -134,24 +142,32 @@ class Page:
                 if self.open[k][0] in BLOCK:
                     break
         if tag in VOID:
-            if tag == "br" and not self.open[-1][2]:
-                self.text.append(" ")
+            if tag == "br":
+                self.data(" ")
             return
-        _, number, dropped, link = self.open[-1]
-        classes, words = names(attributes) if attributes else ([], set())
+        _, number, within, dropped, link = self.open[-1]
+        classes, words, against = names(attributes) if attributes else ([], set(), ())
         if tag in DROPPED_TAGS or tag in RAW:
             dropped = True
-        elif words and tag not in NEVER_DROPPED:
-            dropped = dropped or bool(words & DROPPED_WORDS or words & HEADER_NAMES and not words & {"article", "entry", "post"})
-        if block and not dropped:
+        elif tag == "form":
+            against = [*against, (f"<form> {len(self.parent)}", "<form>")]  # each form is judged alone
+        whole = tag == "main" or tag == "article" and not against
+        if tag in NEVER_DROPPED:
+            against = ()
+        if not dropped and (block or against):
             above = self.path[number]
             self.parent.append(number)
+            number = len(self.parent) - 1
+            if whole:
+                self.wholes.append((number, tag))
+            if against:
+                self.against[number] = against
             factor = {"article": 1.6, "main": 1.4, "body": 0.8, "html": 0.7}.get(tag, 1.0)
             self.factor.append(factor + (0.3 if words & CONTENT_WORDS else 0) if tag in CONTAINERS else 0)
             self.summed.append(tag in ("article", "main"))
-            self.path.append(above if tag in ("html", "body") else f"{above}/{'.'.join([tag, *classes])}")
-            number = len(self.parent) - 1
-        self.open.append((tag, number, dropped, link or tag == "a"))
+            self.path.append(above if tag in ("html", "body") or not block else f"{above}/{'.'.join([tag, *classes])}")
+            within = number if block else within
+        self.open.append((tag, number, within, dropped, link or tag == "a"))
 
     def end(self, tag: str) -> None:
         block = tag in BLOCK
@@ -165,6 +181,61 @@ class Page:
             if not block and self.open[k][0] in BLOCK:
                 return
 
+    def with_ancestors(self, elements) -> set[int]:
+        found: set[int] = set()
+        for k in elements:
+            while k >= 0 and k not in found:
+                found.add(k)
+                k = self.parent[k]
+        return found
+
+    def unwanted(self, path: str | None) -> set[int]:
+        """The elements to drop: a name speaks against them, and neither they nor those of that name hold most of the page's text.
+
+        What holds main, the largest article or elements with the path (if the name stands in it) stays.
+        """
+        weight = [0] * len(self.parent)
+        for _, pieces in self.read:
+            for number, text, link in pieces:
+                if not link:
+                    weight[number] += len(text.strip())
+        for k in range(len(weight) - 1, 0, -1):
+            weight[self.parent[k]] += weight[k]
+        articles = sorted((k for k, tag in self.wholes if tag == "article" and weight[k] >= ARTICLE_SHARE * weight[0]), key=lambda k: (-weight[k], k))[:1]
+        safe = self.with_ancestors(k for k in [*articles, *(k for k, tag in self.wholes if tag == "main")] if weight[k])
+        classes = set(re.split(r"[./]", path)) if path else set()
+        holding = self.with_ancestors(k for k, p in enumerate(self.path) if p == path) if classes else set()
+        share: dict[str, int] = {}
+        borne: list[frozenset] = [frozenset()]
+        for k in range(1, len(weight)):  # within an element of the same name its text counts once
+            borne.append(borne[self.parent[k]])
+            for name in {n for n, _ in self.against.get(k, ())} - borne[k]:
+                share[name] = share.get(name, 0) + weight[k]
+                if not name.startswith("<form>"):
+                    borne[k] |= {name}
+        trusted = {n for n, w in share.items() if w > (WHOLE_SHARE if n in DROPPED_WORDS or n in HEADER_NAMES else PART_SHARE) * weight[0]}
+        out: set[int] = set()
+        for k, against in self.against.items():
+            cleared = {w for n, w in against if n in trusted}
+            if k not in safe and any(w not in cleared for _, w in against) and not (k in holding and any(n in classes for n, _ in against)):
+                out.add(k)
+        return out
+
+    def judge(self, path: str | None = None) -> None:
+        """Makes the blocks, without the dropped elements' text."""
+        out = self.unwanted(path) if self.against else set()
+        dropped = [False] * len(self.parent)
+        for k in range(1, len(dropped)) if out else ():
+            dropped[k] = k in out or dropped[self.parent[k]]
+        running = [k for _, pieces in self.read for k, text, link in pieces if not link and text.strip()] if out else []
+        if running and all(dropped[k] for k in running):
+            out = set()
+        self.blocks = []
+        for number, pieces in self.read:
+            pieces = [x for x in pieces if not dropped[x[0]]] if out else pieces
+            if text := " ".join("".join([t for _, t, _ in pieces]).split()):
+                self.blocks.append((number, text, sum(len(t.strip()) for _, t, link in pieces if link)))
+
     def scores(self) -> list[int]:
         """A score for each element: the text in it outside links, times what its tag and names promise."""
         weight = [0.0] * len(self.parent)
@@ -199,6 +270,8 @@ class Page:
     def extract(self, path: str | None) -> str:
         """The blocks in elements with the path, in page order; without such text, those of the page's own best path."""
         own = self.votes()
+        if path and self.against:
+            self.judge(path)
         for wanted in (path, own[0][0] if own else None):
             if wanted is None:
                 continue

@@ -302,3 +302,23 @@ def test_html_leaf_blocks_are_no_containers(spark):
             ("parts", f"<body><h1>Head</h1><div class=part><p>{long}</p><h2>Sub</h2></div><ul><li>a<li>b</ul><div class=part><p>{long}</p><p>quoted</p></div><p>cell</p></body>"),
         ]
     assert texts_of(spark, pages) == [whole] * len(pages)
+
+
+def test_html_names_do_not_drop_the_article(spark):
+    """Wrappers and parts whose names have a dropped word hold the article; what else is named so is dropped as before."""
+    long = "running text " * 40
+    whole = f"Head {long.strip()} last"
+    article = f"<h1>Head</h1><p>{long}</p><p>last</p>"
+    side = "<div class='main-sidebar'>other pages</div><div class='cookie-notice'>cookies</div><form>name</form><div id=comments><p>a reader</p></div>"
+    widgets = "".join(f"<div class='elementor-widget elementor-widget-{kind}'>{x}</div>" for kind, x in (("heading", "<h1>Head</h1>"), ("text", f"<p>{long}</p>"), ("text", "<p>last</p>")))
+    pages = []
+    for i in range(3):
+        pages += [(name, f"<body><nav>menu</nav><div class='{name}'>{article}{side}</div></body>") for name in ("has-sidebar", "no-sidebar", "share-layout", "search-results", "widget")]
+        pages += [
+            ("form", f"<body><form id=aspnet>{article}{side}</form></body>"),
+            ("inline", f"<body><app-root class=search-app>{article}{side}</app-root></body>"),
+            ("holds", f"<body><div class=related><article>{article}</article></div><div>{side}</div></body>"),
+            ("widgets", f"<body><div class=page>{widgets}{side}</div></body>"),
+        ]
+    assert texts_of(spark, pages) == [whole] * len(pages)
+    assert texts_of(spark, [("h", f"<body><div>{article}<div class=related><article class=card>teaser</article></div>{side}<p>a <span class=share>no</span>b</div></body>")]) == [f"{whole} a b"]
