@@ -28,7 +28,7 @@ LONGEST = 24
 #: Words that a Python worker remembers, and bytes of text whose new words are scored together.
 REMEMBERED, SLICE = 400_000, 1 << 22
 #: Longest landmark, number of them taken from toxic and from clean sentences.
-LANDMARK, TOXIC_LANDMARKS, CLEAN_LANDMARKS = 16, 128, 96
+LANDMARK, TOXIC_LANDMARKS, CLEAN_LANDMARKS = 16, 256, 96
 SPREADS = [(h, i, j, DECAY ** (j + 1)) for j in range(3, SPAN) for i in range(2, j) for h in range(1, i)]
 #: Subsequences are hashed to so many bits.
 HASHED = 20
@@ -237,12 +237,20 @@ def train_on(sample: list[tuple[str, int]], most_units: int = 12_000) -> Scorer:
             witnesses.add(u)
             for k in inside[u]:
                 covered[k] += 1
-    scarce = 2 * sum(c > 0 for c in covered) < n[1]
-    for label, units in bags if scarce else ():  # too few toxic texts to tell: one without any gives its strongest unit that no clean text has
-        if label and not units & witnesses and (own := [u for u in units if not seen[u][0]]):
-            witnesses.add(max(own, key=lambda u: (strong[u], u)))
+    # every toxic text without a witness gives one of the units that no clean text has; which one is decided anew each round
+    bare = [own for k, (label, units) in enumerate(bags) if label and not covered[k] and (own := [u for u in sorted(units) if not seen[u][0]])]
+    often: dict[str, int] = {}
+    for own in bare:
+        for u in own:
+            often[u] = often.get(u, 0) + 1
+
+    def sought(decided: dict[str, float]) -> set[str]:
+        """The unit of each bare text that the machine finds most toxic; one that more of these texts have is likelier."""
+        return {max(own, key=lambda u: (decided.get(u, 0.0) + 0.5 * np.log2(often[u]), strong[u], u)) for own in bare}
+
+    found = sought({})
     clean = sorted((u for u in seen if seen[u][0] and u not in witnesses), key=lambda u: (-seen[u][0], u))
-    landmarks = [u for u in ranked if u in witnesses and len(u) <= LANDMARK][:TOXIC_LANDMARKS]
+    landmarks = [u for u in ranked if (u in witnesses or u in found) and len(u) <= LANDMARK][:TOXIC_LANDMARKS]
     if not landmarks:
         return empty
     like = Kernel(landmarks)
@@ -256,10 +264,14 @@ def train_on(sample: list[tuple[str, int]], most_units: int = 12_000) -> Scorer:
     root = vectors / np.sqrt(np.maximum(values, 1e-4))  # Nyström: features of a unit are its kernel values times this
     negatives = clean[:: max(1, len(clean) // most_units)][:most_units]
     for _ in range(3):
-        positives = sorted({v for u in witnesses for v in (u, *altered(u))})
-        units = positives + negatives
-        y = np.where(np.arange(len(units)) < len(positives), 1.0, -1.0)
-        weight = np.where(y > 0, len(negatives) / max(1, len(positives)), 1.0)
+        sure: dict[str, float] = {}  # a sought unit counts as its texts do, up to four
+        for u in sorted(witnesses | found):
+            for v in (u, *altered(u)):
+                sure[v] = max(sure.get(v, 0.0), 1.0 if u in witnesses else min(1.0, often[u] / 4))
+        units = [*sure, *negatives]
+        y = np.where(np.arange(len(units)) < len(sure), 1.0, -1.0)
+        weight = np.array([*sure.values(), *[1.0] * len(negatives)])
+        weight[: len(sure)] *= len(negatives) / sum(sure.values())
         w, bias = machine(kernel.rows(units) @ root, y, weight)
         weights = np.zeros(1 << HASHED, dtype=np.float32)
         weights[kernel.keys] = kernel.weights[1:] @ (root @ w)
@@ -267,6 +279,8 @@ def train_on(sample: list[tuple[str, int]], most_units: int = 12_000) -> Scorer:
         decided = dict(zip(clean, scorer.decide(clean).tolist()))
         hard = sorted(clean, key=lambda u: (-decided[u], u))[: most_units // 6]
         negatives = sorted({*negatives, *hard})
+        if bare:
+            found = sought(dict(zip(often, scorer.decide(list(often)).tolist())))
     rest = held if held.any() else ~held
     scorer.platt = platt(scorer.strongest([t for (t, _), h in zip(sample, rest) if h]), labels[rest])
     scorer.known.clear()

@@ -322,3 +322,20 @@ def test_html_names_do_not_drop_the_article(spark):
         ]
     assert texts_of(spark, pages) == [whole] * len(pages)
     assert texts_of(spark, [("h", f"<body><div>{article}<div class=related><article class=card>teaser</article></div>{side}<p>a <span class=share>no</span>b</div></body>")]) == [f"{whole} a b"]
+
+
+def syllables(i, words=40):
+    r = random.Random(i)
+    return " ".join("".join(r.choice("bcdfghklmnprst") + r.choice("aeiou") for _ in range(r.randint(1, 3))) for _ in range(words))
+
+
+def test_toxicity_of_rare_insults():
+    """Three insults cover just over half of the toxic texts, 120 rare ones the others; texts with only a rare one are caught, too."""
+    rare = ["x" + "".join(r.choice("qvwxyz") + r.choice("aeiou") for _ in range(4)) for r in map(random.Random, range(120))]
+    insult = lambda k: ["blorkface", "snarfwit", "grimplet"][k % 3] if k % 100 < 55 else rare[k % 120]
+    rows = [(syllables(i), 0) if i % 2 else (f"{syllables(i, 20)} {insult(i // 2)} {syllables(i + 9000, 20)}", 1) for i in range(3000)]
+    random.Random(3).shuffle(rows)
+    model = toxicity.train_on(rows)
+    toxic = model.score([f"{syllables(50_000 + i, 20)} {w} {syllables(60_000 + i, 20)}" for i, w in enumerate(rare)])
+    clean = model.score([syllables(70_000 + i) for i in range(300)])
+    assert (toxic >= 0.3).mean() >= 0.95 and (clean >= 0.3).mean() <= 0.05
