@@ -2,10 +2,10 @@
 
 The kernel compares two units (words, or runs of single letters) by the four-character subsequences that they share, gaps
 allowed; a subsequence weighs less the wider it is spread, so inserted characters cost a little instead of everything. Landmark units
-give each unit a bounded feature vector (Nyström), on which a linear machine is trained. A sentence scores as its strongest unit and a
-text by its two strongest words; the machine learns from labelled sentences: each of a clean text is clean, and of a toxic text
-the sentence with the strongest unit is toxic. Since the decision is linear in the subsequences of the landmarks, scoring only adds
-one weight a subsequence.
+give each unit a bounded feature vector (Nyström), on which a linear machine is trained: the units of clean texts are clean, and of a
+toxic text one at least is toxic. Since the decision is linear in the subsequences of the landmarks, scoring only adds one weight a
+subsequence. Insults of ordinary words are found in sentences: two words in order, words between allowed, that weigh less the farther
+they are apart. A text scores by its two strongest words and its strongest sentence, weighed against each other in the calibration.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ LANDMARK, TOXIC_LANDMARKS, CLEAN_LANDMARKS = 16, 256, 96
 SPREADS = [(h, i, j, DECAY ** (j + 1)) for j in range(3, SPAN) for i in range(2, j) for h in range(1, i)]
 #: Subsequences are hashed to so many bits.
 HASHED = 20
+#: Words between the two of a phrase, and toxic texts that must have it.
+PHRASE_GAP, PHRASE_TEXTS = 2, 4
 SENTENCE_END = re.compile(r"[.!?\n]+")
 #: Four or more single characters with single spaces between: a spaced-out word.
 LETTERS = re.compile(r"(?<!\S)(?:\S[ \t]){3,}\S(?!\S)")
@@ -55,6 +57,40 @@ def units_of(word: str) -> list[str]:
     return [w[at : at + LONGEST] for w in forms if w for at in ([0] if len(w) <= LONGEST else range(0, len(w) - step, step))]
 
 
+def sentences_of(text: str) -> list[list[str]]:
+    """The lower-case words of each sentence, without punctuation at their edges."""
+    return [words for s in SENTENCE_END.split(text.lower()) if len(words := [w for v in s.split() if (w := v.strip(EDGES))]) > 1]
+
+
+def pairs_of(text: str) -> set[tuple[str, str]]:
+    """The pairs of words in order in a sentence with at most PHRASE_GAP words between."""
+    return {pair for words in sentences_of(text) for gap in range(1, PHRASE_GAP + 2) for pair in zip(words, words[gap:])}
+
+
+def toxic_phrases(bare: list[tuple[str, int]], clean: list[str]) -> set[tuple[str, str]]:
+    """Pairs of words that no clean text has and several of the toxic texts do; each bare text: text, texts that share its likeliest toxic unit.
+
+    A pair tells only if twice as many texts have it as have that unit. Counts go to buckets first, so that rare pairs take no memory.
+    """
+    buckets = np.zeros(1 << 22, dtype=np.int32)
+    for text, _ in bare:
+        np.add.at(buckets, np.array([hash(p) & 0x3FFFFF for p in pairs_of(text)], dtype=np.int64), 1)
+    often: dict[tuple[str, str], int] = {}
+    for text, _ in bare:
+        for p in pairs_of(text):
+            if buckets[hash(p) & 0x3FFFFF] >= PHRASE_TEXTS:
+                often[p] = often.get(p, 0) + 1
+    often = {p: n for p, n in often.items() if n >= PHRASE_TEXTS}
+    for text in clean if often else ():
+        for p in pairs_of(text):
+            often.pop(p, None)
+    found: set[tuple[str, str]] = set()
+    for text, shared in bare if often else ():
+        if own := [p for p in pairs_of(text) if often.get(p, 0) >= 2 * shared]:
+            found.update(sorted(own, key=lambda p: (-often[p], p))[:2])
+    return found
+
+
 def spread_norm(n: np.ndarray) -> np.ndarray:
     """The weight of all subsequences of units of n characters, edges included, by which the kernel is scaled."""
     total = sum(weight * weight * np.maximum(n - j, 0) for *_, j, weight in SPREADS)
@@ -127,6 +163,7 @@ class Scorer:
     def __init__(self, characters: Characters, weights: np.ndarray, bias: float):
         self.characters, self.weights, self.bias, self.platt = characters, weights, bias, (0.0, 0.0)
         self.known: dict[str, float] = {}
+        self.phrases: dict[str, set[str]] = {}
 
     def decide(self, units: list[str]) -> np.ndarray:
         if not units:
@@ -166,9 +203,25 @@ class Scorer:
             out += [heapq.nlargest(2, [*map(look, set(words)), *none]) for words in split]
         return np.array(out).reshape(-1, 2) @ np.array([1.0, 0.25])
 
+    def sentence(self, text: str) -> float:
+        """The decision of a text's strongest sentence: 1 for a phrase's two words side by side, less for each word between."""
+        best = 0.0
+        for words in sentences_of(text):
+            for k, word in enumerate(words):
+                if seconds := self.phrases.get(word):
+                    for gap, second in enumerate(words[k + 1 : k + 2 + PHRASE_GAP]):
+                        if second in seconds:
+                            best = max(best, DECAY**gap)
+        return best
+
+    def columns(self, texts: list[str]) -> np.ndarray:
+        """What the calibration weighs: the words' decision and, if there are phrases, the sentences'."""
+        words = self.strongest(texts)
+        return np.column_stack([words, [self.sentence(t) for t in texts]]) if self.phrases else words[:, None]
+
     def score(self, texts: list[str]) -> np.ndarray:
         slope, shift = self.platt
-        return sigmoid(self.strongest(texts) * slope + shift)
+        return sigmoid(self.columns(texts) @ np.atleast_1d(slope) + shift)
 
 
 def altered(unit: str) -> list[str]:
@@ -207,6 +260,7 @@ def train_on(sample: list[tuple[str, int]], most_units: int = 12_000) -> Scorer:
     empty.platt = platt(np.zeros(len(sample)), labels)
     held = np.arange(len(sample)) % 3 == 2
     bags: list[tuple[int, set[str]]] = []
+    fitted = [x for x, h in zip(sample, held) if not h]
     for (text, label), h in zip(sample, held):
         if not h:
             bags.append((label, {u for s in SENTENCE_END.split(text) for w in words_of(s) for u in units_of(w)}))
@@ -238,7 +292,15 @@ def train_on(sample: list[tuple[str, int]], most_units: int = 12_000) -> Scorer:
             for k in inside[u]:
                 covered[k] += 1
     # every toxic text without a witness gives one of the units that no clean text has; which one is decided anew each round
-    bare = [own for k, (label, units) in enumerate(bags) if label and not covered[k] and (own := [u for u in sorted(units) if not seen[u][0]])]
+    lacking = [k for k, (label, _) in enumerate(bags) if label and not covered[k]]
+    near_count: dict[str, int] = {}
+    for k in lacking:
+        for u in bags[k][1]:
+            if not seen[u][0]:
+                near_count[u] = near_count.get(u, 0) + 1
+    phrases = toxic_phrases([(fitted[k][0], max((near_count.get(u, 0) for u in bags[k][1]), default=0)) for k in lacking], [t for t, label in fitted if not label])
+    phrased = {k for k in lacking if phrases and not phrases.isdisjoint(pairs_of(fitted[k][0]))}
+    bare = [own for k, (label, units) in enumerate(bags) if label and not covered[k] and k not in phrased and (own := [u for u in sorted(units) if not seen[u][0]])]
     often: dict[str, int] = {}
     for own in bare:
         for u in own:
@@ -251,7 +313,12 @@ def train_on(sample: list[tuple[str, int]], most_units: int = 12_000) -> Scorer:
     found = sought({})
     clean = sorted((u for u in seen if seen[u][0] and u not in witnesses), key=lambda u: (-seen[u][0], u))
     landmarks = [u for u in ranked if (u in witnesses or u in found) and len(u) <= LANDMARK][:TOXIC_LANDMARKS]
+    for a, b in phrases:
+        empty.phrases.setdefault(a, set()).add(b)
+    rest = held if held.any() else ~held
     if not landmarks:
+        if phrases:
+            empty.platt = platt(empty.columns([t for (t, _), h in zip(sample, rest) if h]), labels[rest])
         return empty
     like = Kernel(landmarks)
     flat = Scorer(like.characters, np.zeros(1 << HASHED, np.float32), 0.0)
@@ -281,8 +348,8 @@ def train_on(sample: list[tuple[str, int]], most_units: int = 12_000) -> Scorer:
         negatives = sorted({*negatives, *hard})
         if bare:
             found = sought(dict(zip(often, scorer.decide(list(often)).tolist())))
-    rest = held if held.any() else ~held
-    scorer.platt = platt(scorer.strongest([t for (t, _), h in zip(sample, rest) if h]), labels[rest])
+    scorer.phrases = empty.phrases
+    scorer.platt = platt(scorer.columns([t for (t, _), h in zip(sample, rest) if h]), labels[rest])
     scorer.known.clear()
     return scorer
 
@@ -297,7 +364,7 @@ def score(docs: DataFrame, model: Scorer, id_col: str = "doc_id", text_col: str
 
     Null texts are scored like empty ones; repeated rows stay; an empty table gives an empty table; other columns are not looked at.
     """
-    state = {"characters": np.nonzero(model.characters.table)[0], "numbers": model.characters.table[np.nonzero(model.characters.table)[0]], "keys": np.nonzero(model.weights)[0], "weights": model.weights[np.nonzero(model.weights)[0]], "bias": model.bias, "platt": model.platt}
+    state = {"characters": np.nonzero(model.characters.table)[0], "numbers": model.characters.table[np.nonzero(model.characters.table)[0]], "keys": np.nonzero(model.weights)[0], "weights": model.weights[np.nonzero(model.weights)[0]], "bias": model.bias, "platt": model.platt, "phrases": model.phrases}
 
     def run(batches):
         import pyarrow as pa
@@ -307,7 +374,7 @@ def score(docs: DataFrame, model: Scorer, id_col: str = "doc_id", text_col: str
         characters.table[state["characters"]] = state["numbers"]
         weights[state["keys"]] = state["weights"]
         scorer = Scorer(characters, weights, state["bias"])
-        scorer.platt = state["platt"]
+        scorer.platt, scorer.phrases = state["platt"], state["phrases"]
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scorer.score(texts), pa.float64())], names=["doc_id", "score"])

@@ -339,3 +339,19 @@ def test_toxicity_of_rare_insults():
     toxic = model.score([f"{syllables(50_000 + i, 20)} {w} {syllables(60_000 + i, 20)}" for i, w in enumerate(rare)])
     clean = model.score([syllables(70_000 + i) for i in range(300)])
     assert (toxic >= 0.3).mean() >= 0.95 and (clean >= 0.3).mean() <= 0.05
+
+
+def test_toxicity_of_ordinary_words():
+    """Insults whose words are all ordinary in clean texts are found in their sentence; the words apart stay clean."""
+    insults = ["waste of space", "go jump away", "nobody likes you"]
+    common = " ".join(insults).split()
+    rows = []
+    for i in range(1500):
+        r = random.Random(i)
+        clean = f"{syllables(i, 15)} {r.choice(common)} {syllables(i + 1, 3)} {r.choice(common)}. {syllables(i + 2, 8)} {r.choice(common)}."
+        rows.append((clean, 0) if i % 2 else (f"{clean} {insults[i // 2 % 3]}. {syllables(i + 3, 5)}", 1))
+    random.Random(3).shuffle(rows)
+    model = toxicity.train_on(rows)
+    toxic = model.score([f"{syllables(80_000 + i, 20)}. {syllables(i, 3)} {insults[i % 3]}." for i in range(60)])
+    clean = model.score([f"{syllables(90_000 + i, 20)} {common[i % 9]}. {common[(i + 1) % 9]} {syllables(7 * i, 2)}" for i in range(60)])
+    assert (toxic >= 0.3).mean() >= 0.95 and (clean >= 0.3).mean() <= 0.05
