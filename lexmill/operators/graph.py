@@ -99,16 +99,43 @@ def sequence_edges(rows: DataFrame, group: list[str], order: str, node: Column)
     return forward.union(pairs.select("then", "__node", F.lit("PREVIOUS")))
 
 
-def similar_edges(vectors: DataFrame, id_col: str, vector_col: str, group_col: str, k: int, least: float) -> DataFrame:
-    """src, dst and similarity: each vector's k nearest of its group at `least` similarity or more.
+def similar_edges(vectors: DataFrame, id_col: str, vector_col: str, group_col: str | None, k: int, least: float, queries: Column | None = None, block: int = 512) -> DataFrame:
+    """src, dst and similarity: the k nearest at `least` similarity or more of each vector that meets the condition queries (of all without one).
 
-    Vectors are unit-scaled once, then compared within their group only; a heap-like window keeps k a node.
+    Exact over all vectors, or within the group where group_col is given. Unit-scaled vectors meet in blocks of about `block` rows
+    as matrices; each pair of blocks gives at most k rows a source, so pairs of vectors are never rows.
     """
     size = F.sqrt(F.aggregate(vector_col, F.lit(0.0), lambda x, y: x + y.cast("double") * y.cast("double")))
-    unit = vectors.select(F.col(id_col).alias("id"), F.col(group_col).alias("g"), F.transform(vector_col, lambda x: x.cast("double") / size).alias("v"))
-    a, b = unit.select(F.col("id").alias("src"), "g", F.col("v").alias("a")), unit.select(F.col("id").alias("dst"), "g", F.col("v").alias("b"))
-    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
-    pairs = a.join(b, "g").where(F.col("src") != F.col("dst")).select("src", "dst", dot.alias("similarity")).where(F.col("similarity") >= least)
+    unit = vectors.select("*", F.lit(0).alias("g") if group_col is None else F.col(group_col).alias("g")).select(F.col(id_col).alias("id"), "g", F.transform(vector_col, lambda x: x.cast("double") / size).alias("v"), (F.lit(True) if queries is None else queries).alias("asks"))
+    unit = unit.where("g IS NOT NULL AND v IS NOT NULL")
+    counts = unit.groupBy("g").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    unit = unit.join(counts, "g").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
+    left = unit.where("asks").select("id", "g", "v", F.lit(True).alias("asks"), F.col("b").cast("int").alias("b1"), others.alias("b2"))
+    right = unit.select("id", "g", "v", F.lit(False).alias("asks"), others.alias("b1"), F.col("b").cast("int").alias("b2"))
+    kind = unit.schema["id"].dataType.simpleString()
+
+    def nearest(table):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute
+
+        asks = table.column("asks")
+        mine, theirs = table.filter(asks), table.filter(pa.compute.invert(asks))
+        src, dst, near = [], [], []
+        if mine.num_rows and theirs.num_rows:
+            ids, others = mine.column("id").to_pylist(), theirs.column("id").to_pylist()
+            a, b = (np.array(x.column("v").to_pylist(), dtype=np.float64) for x in (mine, theirs))
+            for i, row in enumerate(a @ b.T):
+                found = [j for j in np.nonzero(row >= least)[0].tolist() if others[j] != ids[i]]
+                for j in sorted(found, key=lambda j: (-row[j], others[j]))[:k]:
+                    src.append(ids[i])
+                    dst.append(others[j])
+                    near.append(float(row[j]))
+        id_type = table.schema.field("id").type
+        return pa.table({"src": pa.array(src, id_type), "dst": pa.array(dst, id_type), "similarity": pa.array(near, pa.float64())})
+
+    pairs = left.union(right).groupBy("g", "b1", "b2").applyInArrow(nearest, f"src {kind}, dst {kind}, similarity double")
     best = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("similarity"), "dst"))
     return pairs.withColumn("place", best).where(F.col("place") <= k)
 

@@ -1,3 +1,6 @@
+import math
+import random
+
 from pyspark.sql import functions as F
 
 from lexmill.functions import extract, text
@@ -79,3 +82,23 @@ def test_provision_paths():
     assert got == [("1", "", True), ("1.a", "First more", False), ("1.a.A", "sub", False), ("1.a.A.i", "numeral", False), ("1.a.A.ii", "next", False), ("1.b", "Second", False), ("2", "Third", False), ("2_v2", "again end", False)]
     assert [".".join(p["path"]) for p in provisions.parse_section("(h) x\n(i) y\n(j) z")] == ["h", "i", "j"]
     assert provisions.parse_section("") == [] and provisions.parse_section(None) == []
+
+
+def test_similar_edges_across_groups(spark):
+    """All vectors meet, whatever their label, in blocks; each has the same nearest ones as by comparing all pairs."""
+    r = random.Random(1)
+    rows = [(i, i % 3, [r.uniform(-1, 1) for _ in range(4)]) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "id long, label int, v array<float>")
+    unit = {i: [x / math.sqrt(sum(y * y for y in v)) for x in v] for i, _, v in rows}
+
+    def want(sources, same):
+        for i in sources:
+            near = [(-sum(a * b for a, b in zip(unit[i], unit[j])), j) for j in unit if j != i and (not same or i % 3 == j % 3)]
+            yield from ((i, j) for s, j in sorted(near)[:3] if s <= -0.1)
+
+    def got(*more, **named):
+        return sorted((x["src"], x["dst"]) for x in graph.similar_edges(vectors, "id", "v", *more, **named).collect())
+
+    assert got(None, 3, 0.1, block=7) == sorted(want(unit, False))
+    assert got("label", 3, 0.1, block=7) == sorted(want(unit, True))
+    assert got(None, 3, 0.1, queries=F.col("id") % 20 == 0, block=7) == sorted(want([0, 20, 40], False))
