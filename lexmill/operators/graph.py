@@ -57,8 +57,11 @@ def shortest_path(edges: DataFrame, source, target, longest: int = 6) -> DataFra
     return hit
 
 
-def closure(edges: DataFrame, deepest: int = 10) -> DataFrame:
-    """node, ancestor and depth over child -> parent edges (src, dst), each node its own ancestor at depth 0; stops when nothing is new."""
+def closure(edges: DataFrame, deepest: int = 1000) -> DataFrame:
+    """node, ancestor and depth over child -> parent edges (src, dst), each node its own ancestor at depth 0; stops when nothing is new.
+
+    Chains deeper than `deepest` raise an error; there is no partial closure.
+    """
     step = stored(edges.select(F.col("src").alias("child"), F.col("dst").alias("parent")).distinct())
     found = step.select(F.col("child").alias("node")).union(step.select("parent")).distinct().select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
     frontier = found
@@ -68,6 +71,10 @@ def closure(edges: DataFrame, deepest: int = 10) -> DataFrame:
         if frontier.isEmpty():
             break
         found = found.union(frontier)
+        if depth % 10 == 0:  # else each step reads all before it
+            found = stored(found)
+    else:
+        raise RuntimeError(f"chains of over {deepest} steps")
     return found.groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
 
 

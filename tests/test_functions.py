@@ -102,3 +102,8 @@ def test_similar_edges_across_groups(spark):
     assert got(None, 3, 0.1, block=7) == sorted(want(unit, False))
     assert got("label", 3, 0.1, block=7) == sorted(want(unit, True))
     assert got(None, 3, 0.1, queries=F.col("id") % 20 == 0, block=7) == sorted(want([0, 20, 40], False))
+
+
+def test_closure_of_a_deep_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(13)], "src long, dst long")
+    assert sorted(map(tuple, graph.closure(edges).collect())) == [(i, j, j - i) for i in range(14) for j in range(i, 14)]
