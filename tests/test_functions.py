@@ -1,10 +1,13 @@
+import hashlib
 import math
+import os
 import random
 
 from pyspark.sql import functions as F
 
 from lexmill.functions import extract, text
 from lexmill.operators import checks, chunking, graph, loading, provisions, rules, search
+from lexmill.plans import catalog
 from lexmill.sources import pages
 
 
@@ -107,3 +110,14 @@ def test_similar_edges_across_groups(spark):
 def test_closure_of_a_deep_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(13)], "src long, dst long")
     assert sorted(map(tuple, graph.closure(edges).collect())) == [(i, j, j - i) for i in range(14) for j in range(i, 14)]
+
+
+def test_release_manifest_of_every_table(spark):
+    """Rows and digests equal a brute-force hash of the rows, for all tables."""
+    folder = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    want = []
+    for name in sorted(f.removesuffix(".parquet") for f in os.listdir(folder) if f.endswith(".parquet")):
+        rows = spark.read.parquet(f"{folder}/{name}.parquet")
+        lines = [r[0] for r in rows.select(F.to_json(F.struct(*sorted(rows.columns)))).collect()]
+        want.append((name, len(lines), str(sum(int(hashlib.sha256(x.encode()).hexdigest()[:15], 16) for x in lines))))
+    assert sorted(map(tuple, catalog.QUERIES["release_manifest"](spark, folder).collect())) == want and len(want) == 14
