@@ -11,17 +11,16 @@ import json
 import struct
 from functools import lru_cache
 
-import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import two_columns
+from lexmill.llm.common import in_slices, two_columns
 
 #: Fixed value: the published pattern of byte-level BPE pre-tokenization.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words and pieces that a worker remembers; a table is emptied when it is full. Longer ones are not remembered.
-REMEMBERED, LONGEST = 1_000_000, 200
+#: Bytes that each of a worker's tables of words and pieces may take, and what an entry takes besides its text; a table is emptied when it is full. Longer texts are not remembered.
+REMEMBERED, ENTRY, LONGEST = 24_000_000, 200, 200
 
 
 def byte_symbols() -> list[str]:
@@ -78,14 +77,16 @@ class Remembered(dict):
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.size = make, 0
 
     def __missing__(self, key: str):
         value = self.make(key)
         if len(key) <= LONGEST:
-            if len(self) >= REMEMBERED:
+            if self.size >= REMEMBERED:
                 self.clear()
+                self.size = 0
             self[key] = value
+            self.size += ENTRY + 2 * len(key)
         return value
 
 
@@ -148,10 +149,16 @@ class Pieces:
 
 
 def vocabulary(path: str) -> dict:
+    """The file's model; anything that these functions would not follow is refused."""
     spec = json.load(open(path, encoding="utf-8"))
-    if spec["model"]["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec.get("normalizer"):
-        raise ValueError("a byte-level BPE tokenizer without a normalizer is needed")
-    return spec["model"]
+    model, before = spec["model"], spec["pre_tokenizer"]
+    if model["type"] != "BPE" or before["type"] != "ByteLevel" or spec.get("normalizer") or before.get("add_prefix_space") or before.get("use_regex") is False:
+        raise ValueError("a byte-level BPE tokenizer with the usual pattern, without normalizer and prefix space, is needed")
+    if any(model.get(k) for k in ("ignore_merges", "dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")):
+        raise ValueError("merges that are skipped, dropped or marked are not supported")
+    if any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("special strings that take in what is around them are not supported")
+    return model
 
 
 @lru_cache(maxsize=2)
@@ -182,21 +189,23 @@ def encoder(path: str):
     return Pieces(path, ids, b"".join, lambda i: struct.pack("<I", i)).of
 
 
-def token_count(text: Column, path: str) -> Column:
-    """Tokens of a text column; null counts as empty."""
-    def counted(texts: pd.Series) -> pd.Series:
-        count = counter(path)
-        return pd.Series([count(t) if t else 0 for t in texts], dtype="int64")
-
-    return F.pandas_udf(counted, "long")(text)
-
-
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of each row.
 
     path: the tokenizer's .json, readable on each executor. Null and empty texts have 0 tokens; repeated rows and null ids
     stay as they are; an empty table gives an empty table; other columns are not looked at.
     """
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        count = counter(path)
+        for b in batches:
+            sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64())
+            tokens = [count(t.decode()) for texts in in_slices(b.column(1)) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), sizes, pa.array(tokens, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+
     two = two_columns(docs, id_col, text_col)
-    counted = two.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), token_count(F.col("text"), path).alias("n_tokens"))
+    counted = two.mapInArrow(run, f"doc_id {two.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

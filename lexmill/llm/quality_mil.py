@@ -7,12 +7,11 @@ gates and classifier are learned together from labels of whole texts.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.calibrate import platt, sigmoid
-from lexmill.llm.common import labelled_sample, two_columns
+from lexmill.llm.common import in_slices, labelled_sample, two_columns
 
 #: Bytes in a passage; hashed three-byte buckets of its features, besides which it has EXTRA shares.
 PASSAGE, BUCKETS, EXTRA = 512, 512, 9
@@ -77,11 +76,29 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([grams, shares * 4], axis=1).astype(np.float32), per
 
 
-def forward(x: np.ndarray, per: np.ndarray, p: dict) -> dict:
-    """Every stage's values: h (passages encoded), attention a, text representation z and its score s."""
+def grouped(texts: list[bytes]):
+    """The texts in lists of about SLICE bytes; a longer one stands alone."""
+    group, size = [], 0
+    for t in texts:
+        if group and size + len(t) > SLICE:
+            yield group
+            group, size = [], 0
+        group.append(t)
+        size += len(t)
+    if group:
+        yield group
+
+
+def encoded(x: np.ndarray, p: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Passages encoded (h), the two gates, and the attention of each before it is shared out."""
     h = np.tanh(x @ p["E"] + p["e"])
     t, g = np.tanh(h @ p["V"]), sigmoid(h @ p["U"])
-    raw = (t * g) @ p["w"]
+    return h, t, g, (t * g) @ p["w"]
+
+
+def forward(x: np.ndarray, per: np.ndarray, p: dict) -> dict:
+    """Every stage's values: h (passages encoded), attention a, text representation z and its score s."""
+    h, t, g, raw = encoded(x, p)
     first = np.cumsum(per) - per
     owner = np.repeat(np.arange(len(per)), per)
     e = np.exp(raw - np.maximum.reduceat(raw, first)[owner])
@@ -90,6 +107,17 @@ def forward(x: np.ndarray, per: np.ndarray, p: dict) -> dict:
     return {"h": h, "t": t, "g": g, "a": a, "z": z, "s": z @ p["c"] + p["b"][0], "first": first, "owner": owner}
 
 
+def decision(text: bytes, p: dict) -> float:
+    """The score of one long text, read in slices of whole passages: only attention sums are kept of each."""
+    top, total, weighted = -np.inf, 0.0, np.zeros(len(p["c"]))
+    for at in range(0, len(text), SLICE):
+        h, _, _, raw = encoded(passages([text[at : at + SLICE]])[0], p)
+        before, top = top, max(top, float(raw.max()))
+        e = np.exp(raw - top)
+        total, weighted = total * np.exp(before - top) + e.sum(), weighted * np.exp(before - top) + e @ h
+    return float(weighted / total @ p["c"] + p["b"][0])
+
+
 def gradients(x: np.ndarray, per: np.ndarray, p: dict, d: np.ndarray) -> dict:
     """Gradients of the loss whose derivative by the scores is d."""
     f = forward(x, per, p)
@@ -112,7 +140,11 @@ def fit(sample: list[tuple[str, int]], width: int = 16, gates: int = 8, rounds:
         return p | {"platt": (0.0, 0.0)}
     y = np.array([label for _, label in sample], dtype=np.float32)
     held = np.arange(len(y)) % 3 == 2
-    pick = lambda mask: passages([t.encode() for (t, _), k in zip(sample, mask) if k])
+
+    def pick(mask):
+        found = [passages(group) for group in grouped([t.encode() for (t, _), k in zip(sample, mask) if k])]
+        return np.concatenate([x for x, _ in found]), np.concatenate([per for _, per in found])
+
     (x, per), ty = pick(~held), y[~held]
     pos = max(1.0, float(ty.sum()))
     weight = np.where(ty == 1, len(ty) / (2 * pos), len(ty) / (2 * max(1.0, len(ty) - pos)))
@@ -129,22 +161,15 @@ def fit(sample: list[tuple[str, int]], width: int = 16, gates: int = 8, rounds:
 
 
 def scores(texts: list[bytes], model: dict) -> np.ndarray:
-    """Probability of quality 1 of each text, worked out over slices of bounded size (and each text whole)."""
-    out, at = np.zeros(len(texts)), 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) <= SLICE):
-            size += len(texts[end])
-            end += 1
-        slope, shift = model["platt"]
-        out[at:end] = sigmoid(slope * forward(*passages(texts[at:end]), model)["s"] + shift)
-        at = end
-    return out
+    """Probability of quality 1 of each text, worked out over slices of bounded size."""
+    slope, shift = model["platt"]
+    found = [np.array([decision(group[0], model)]) if len(group[0]) > SLICE else forward(*passages(group), model)["s"] for group in grouped(texts)]
+    return sigmoid(slope * np.concatenate(found) + shift) if found else np.zeros(0)
 
 
-def train(docs: DataFrame, labels: DataFrame, condition=None, max_rows: int = 3000, max_chars: int = 50_000) -> dict:
-    """The model learned from a bounded sample: about max_rows labelled texts of at most max_chars whose doc_id meets the condition."""
-    return fit(labelled_sample(docs, labels, "quality", F.lit(True) if condition is None else condition, max_rows, max_chars))
+def train(docs: DataFrame, labels: DataFrame, condition=None, max_rows: int = 3000, max_bytes: int = 12_000_000) -> dict:
+    """The model learned from a bounded sample: about max_rows labelled texts, max_bytes in all, whose doc_id meets the condition."""
+    return fit(labelled_sample(docs, labels, "quality", F.lit(True) if condition is None else condition, max_rows, max_bytes))
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,17 +182,25 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
         import pyarrow as pa
 
         for b in batches:
-            texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(texts, model), pa.float64())], names=["doc_id", "score"])
+            found = [scores(texts, model) for texts in in_slices(b.column(1), SLICE)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(found) if found else [], pa.float64())], names=["doc_id", "score"])
 
     two = two_columns(docs, id_col, text_col)
     return two.mapInArrow(run, f"doc_id {two.schema['doc_id'].dataType.simpleString()}, score double")
 
 
-def with_score(docs: DataFrame, model: dict, name: str, text_col: str = "text") -> DataFrame:
-    """docs and the score of each row as a further column of the given name, worked out in Arrow batches beside the row."""
+def accepted(docs: DataFrame, model: dict, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose score is at least the threshold. Batches pass through a worker one by one and are copied in slices only.
+
+    Null texts are scored like empty ones; repeated rows are each judged alike; an empty table gives an empty table.
+    """
+    at = docs.columns.index(text_col)
+
+    def keep(batches):
+        import pyarrow as pa
 
-    def scored(batch: pd.Series) -> pd.Series:
-        return pd.Series(scores([(t or "").encode() for t in batch], model))
+        for b in batches:
+            found = [scores(texts, model) for texts in in_slices(b.column(at).cast(pa.string()), SLICE)]
+            yield b.filter(pa.array(np.concatenate(found) >= threshold if found else [], pa.bool_()))
 
-    return docs.withColumn(name, F.pandas_udf(scored, "double")(F.col(f"`{text_col}`").cast("string")))
+    return docs.mapInArrow(keep, docs.schema)

@@ -126,6 +126,6 @@ def apply_rules(docs: DataFrame, model: dict, threshold: float = 0.3, least_word
     return scored.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, max_chars: int = 50_000) -> dict:
-    """The model fitted on a bounded sample of rows with a quality label: about max_rows texts of at most max_chars."""
-    return fit(labelled_sample(docs, labels, "quality", F.lit(True), max_rows, max_chars))
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, max_bytes: int = 12_000_000) -> dict:
+    """The model fitted on a bounded sample of rows with a quality label: about max_rows texts, max_bytes in all."""
+    return fit(labelled_sample(docs, labels, "quality", F.lit(True), max_rows, max_bytes))

@@ -354,9 +354,9 @@ def train_on(sample: list[tuple[str, int]], most_units: int = 12_000) -> Scorer:
     return scorer
 
 
-def train(docs: DataFrame, labels: DataFrame, condition=None, max_rows: int = 3000, max_chars: int = 50_000) -> Scorer:
-    """The machine fitted on a bounded sample: about max_rows labelled texts of at most max_chars whose doc_id meets the condition."""
-    return train_on(labelled_sample(docs, labels, "toxic", F.lit(True) if condition is None else condition, max_rows, max_chars))
+def train(docs: DataFrame, labels: DataFrame, condition=None, max_rows: int = 3000, max_bytes: int = 12_000_000) -> Scorer:
+    """The machine fitted on a bounded sample: about max_rows labelled texts, max_bytes in all, whose doc_id meets the condition."""
+    return train_on(labelled_sample(docs, labels, "toxic", F.lit(True) if condition is None else condition, max_rows, max_bytes))
 
 
 def score(docs: DataFrame, model: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
