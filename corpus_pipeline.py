@@ -11,18 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import decontamination, packing, pii, quality_mil, simhash
-from lexmill.llm.common import materialize, read, remainder
+from lexmill.llm.common import materialize, parted, read, remainder
 from lexmill.llm.queries import TOKENIZER
 
-#: Keys of removed documents that may be broadcast, a few dozen bytes each; more are joined by a shuffle.
-BROADCAST_KEYS = 500_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts (a score of 0.3 or more); it learns from the same labels as its query."""
     model = quality_mil.train(docs, read(spark, sf_dir, "labels"), remainder(5) != 0)
-    return quality_mil.with_score(docs, model, "__score").where(F.col("__score") >= 0.3).select(*docs.columns)
+    return quality_mil.accepted(docs, model, 0.3)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -30,23 +28,25 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__key", F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")))
 
 
-def only(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """Rows of docs (left_semi) in keys or (left_anti) not in keys, a stored table with a column `key`. A bounded number of keys is broadcast, so that whole texts need no shuffle."""
+def exactly(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows of docs (left_semi) in keys or (left_anti) not in keys, a table with a column `key`."""
     k = keys.select(F.col("key.doc_id").alias("__i"), F.col("key.h").alias("__h"))
-    k = F.broadcast(k) if k.count() <= BROADCAST_KEYS else k
     return docs.join(k, F.col("__key.doc_id").eqNullSafe(F.col("__i")) & (F.col("__key.h") == F.col("__h")), how)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id. Of equal rows one stays."""
+    """One document of each near-duplicate group: the one with the smallest doc_id. Of equal rows one stays.
+
+    Texts whose key surely goes to no group pass by; only the others are joined with the decisions on them.
+    """
     named = keyed(docs)
     marked = simhash.near_duplicates(named, id_col="__key").select(F.col("doc_id").alias("key"), "component_id")
-    marked = materialize(marked.groupBy("key").agg(F.min("component_id").alias("component"), F.count("*").alias("n")), "groups")
-    stays = F.col("key") == F.col("component")
-    kept = only(named, marked.where(~stays), "left_anti")
-    several = marked.where(stays & (F.col("n") > 1))
-    once = only(kept, several, "left_anti")
-    return once.unionByName(only(kept, several, "left_semi").dropDuplicates(["__key"])).select(*docs.columns)
+    marked = marked.groupBy("key").agg(F.min("component_id").alias("component"), F.count("*").alias("n"))
+    affected = materialize(marked.withColumn("stays", F.col("key") == F.col("component")).where(~F.col("stays") | (F.col("n") > 1)), "groups")
+    some, rest = parted(named, F.col("__key"), affected, F.col("key"))
+    alone = exactly(some, affected, "left_anti")
+    once = exactly(some, affected.where("stays"), "left_semi").dropDuplicates(["__key"])
+    return rest.unionByName(alone).unionByName(once).select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     named = keyed(docs)
     judged = decontamination.contamination(named, read(spark, sf_dir, "benchmark"), id_col="__key")
     bad = materialize(judged.where("contaminated").select(F.col("doc_id").alias("key")).distinct(), "contaminated")
-    return only(named, bad, "left_anti").select(*docs.columns)
+    some, rest = parted(named, F.col("__key"), bad, F.col("key"))
+    return rest.unionByName(exactly(some, bad, "left_anti")).select(*docs.columns)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
