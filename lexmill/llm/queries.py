@@ -74,10 +74,18 @@ ORACLE_SQL: dict[str, str] = {
                FROM (SELECT doc_id, w, n, unnest(range(0, greatest(len(w) - n + 1, 0))) AS s FROM d CROSS JOIN sizes)),
         hit AS (SELECT doc_id, s, dw.n, item_id FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n),
         pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY doc_id),
-        its AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+        its AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id),
+        places AS (SELECT doc_id, w[p] AS t, p FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+        freq AS (SELECT t, count(*) AS n FROM places GROUP BY t),
+        firsts AS (SELECT DISTINCT item_id, w, s FROM (SELECT item_id, w, unnest(list_append(range(0, greatest(len(w) - 12, 1), 13), greatest(len(w) - 13, 0))) AS s FROM b WHERE len(w) > 0)),
+        terms AS (SELECT item_id, w, s, t, min(k) AS k FROM (SELECT item_id, w, s, w[s + k] AS t, k FROM (SELECT item_id, w, s, unnest(range(1, least(len(w), 13) + 1)) AS k FROM firsts)) GROUP BY ALL),
+        win AS (SELECT item_id, w, s, list(t) AS ts, min_by(t, (coalesce(n, 0), k)) AS lead FROM terms LEFT JOIN freq USING (t) GROUP BY ALL),
+        near AS (SELECT doc_id, count(*) AS n_near FROM (SELECT DISTINCT places.doc_id, item_id, win.w, s FROM places JOIN win ON t = lead JOIN d USING (doc_id)
+                 WHERE len(list_intersect(ts, d.w[greatest(p - 26, 1) : p + 26])) = len(ts)) GROUP BY doc_id)
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-        FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+               CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+        FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN near USING (doc_id)
     """,
     "op2_warc_archive": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d, coalesce(html, '') AS h FROM pages),
