@@ -19,6 +19,8 @@ from lexmill.llm.common import materialize, two_columns
 
 #: Rows that one ranking group should have, and the fewest groups that a length is dealt over.
 RANKED_TOGETHER, LEAST_SALTS = 100_000, 256
+#: Configurations that a linear programme may choose from; a number of groups that has more is not tried.
+MOST_WAYS = 300_000
 
 
 class Bins:
@@ -47,66 +49,86 @@ class Bins:
         return space, first, count
 
 
-def group_sizes(large: list[tuple[int, int]], groups: int) -> list[list[list[int]]]:
-    """Linear grouping: (length, count) by falling length, cut into groups of equal cardinality, each a list of [length, first rank, end rank]."""
-    total = sum(n for _, n in large)
+def group_sizes(segments: list[list[int]], groups: int) -> list[list[list[int]]]:
+    """Linear grouping: segments [length, first rank, end rank] by falling length, cut into groups of equal cardinality."""
+    total = sum(end - start for _, start, end in segments)
     out: list[list[list[int]]] = []
-    room = 0
-    done = 0
-    for length, n in large:
-        rank = 0
-        while rank < n:
+    room = done = 0
+    for length, rank, end in segments:
+        while rank < end:
             if not room:
                 out.append([])
                 room = -(-(total - done) // max(1, groups - len(out) + 1))
-            take = min(room, n - rank)
+            take = min(room, end - rank)
             out[-1].append([length, rank, rank + take])
             rank, room, done = rank + take, room - take, done + take
     return out
 
 
-def best_configuration(sizes: np.ndarray, left: np.ndarray, g: int, capacity: int) -> list[int]:
-    """The fullest configuration of rounded sizes that holds one of group g and up to two more."""
-    avail = left.copy()
-    avail[g] -= 1
-    room = capacity - sizes[g]
-    one = np.nonzero((avail > 0) & (sizes <= room))[0]
-    if not len(one):
-        return [g]
-    i = int(one[np.argmax(sizes[one])])
-    best, pick = int(sizes[i]), [g, i]
-    pair = sizes[one][:, None] + sizes[one][None, :]
-    same = np.eye(len(one), dtype=bool) & (avail[one] < 2)[None, :]
-    pair = np.where((pair <= room) & ~same, pair, -1)
-    if (x := int(pair.max())) > best:
-        a, b = np.unravel_index(int(np.argmax(pair)), pair.shape)
-        pick = [g, int(one[a]), int(one[b])]
-    return pick
-
-
-def plan_packing(counts: dict[int, int], capacity: int, groups: int = 400) -> list[tuple[int, int, int, int, int, int]]:
-    """Runs (length, first rank, end rank, first sequence, pieces of it a sequence, offset) that place every piece.
+def configurations(sizes: list[int], capacity: int) -> np.ndarray:
+    """Every way to put one to three of the sizes into one sequence, as rows of three size numbers; len(sizes) stands for nothing. Sizes fall."""
+    m = len(sizes)
+    with_none = np.array([*sizes, 0], dtype=np.int64)
+    a, b = np.triu_indices(m + 1)
+    fits = with_none[a] + with_none[b] <= capacity
+    pairs = np.stack([a[fits], b[fits]], axis=1)
+    pairs = pairs[pairs[:, 0] < m]
+    out = []
+    for c in range(m + 1):
+        two = pairs[(pairs[:, 1] <= c) & (with_none[pairs].sum(axis=1) + with_none[c] <= capacity)]
+        out.append(np.concatenate([two, np.full((len(two), 1), c)], axis=1))
+    return np.concatenate(out)
 
-    Pieces above a quarter of the capacity are large, so at most three fit together. They are rounded up to the largest of their
-    group, groups being equal in number; whole configurations of rounded sizes are chosen, the fullest for the largest size left,
-    as often as its groups allow; actual pieces are put in their places, which leaves some more space; and the small pieces, from
-    the longest, go to the sequence with the least sufficient space.
+
+def fewest_sequences(ways: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, float]]:
+    """Ways and how often to use each, a fraction, so that all sizes are placed in the fewest sequences: a linear programme, by the simplex method.
+
+    It starts with each size alone. The prices of the sizes under the present ways show the way that saves most, which comes in for the
+    one that runs out first, until no way saves anything.
     """
+    m = len(counts)
+    basis = np.eye(m)
+    used = [np.array([i, m, m]) for i in range(m)]
+    often = counts.astype(np.float64)
+    for _ in range(60 * m):
+        price = np.append(np.linalg.solve(basis.T, np.ones(m)), 0.0)
+        worth = price[ways].sum(axis=1)
+        best = int(np.argmax(worth))
+        if worth[best] <= 1 + 1e-9:
+            break
+        column = np.bincount(ways[best], minlength=m + 1)[:m].astype(np.float64)
+        change = np.linalg.solve(basis, column)
+        falls = change > 1e-9
+        steps = np.where(falls, often / np.where(falls, change, 1.0), np.inf)
+        out = int(np.argmin(steps))
+        often = np.maximum(often - steps[out] * change, 0.0)
+        often[out] = steps[out]
+        basis[:, out] = column
+        used[out] = ways[best]
+    return list(zip(used, often.tolist()))
+
+
+def grouped_plan(counts: dict[int, int], capacity: int, groups: int, most_ways: int = MOST_WAYS) -> tuple[int, list[tuple[int, int, int, int, int, int]]] | None:
+    """The sequences and runs of plan_packing for one number of groups; None if it has too many configurations."""
     runs: list[tuple[int, int, int, int, int, int]] = []
-    sequence = 0
     bins = Bins()
-    full = counts.get(capacity, 0)
-    if full:
-        runs.append((capacity, 0, full, 0, 1, 0))
-        sequence = full
-    large = [(x, counts[x]) for x in sorted(counts, reverse=True) if capacity // 4 < x < capacity and counts[x]]
-    grouped = group_sizes(large, groups)
-    sizes = np.array([g[0][0] for g in grouped], dtype=np.int64)
-    left = np.array([sum(e - s for _, s, e in g) for g in grouped], dtype=np.int64)
-    for g in range(len(grouped)):
-        while left[g] > 0:
-            pick = best_configuration(sizes, left, g, capacity)
-            times = min(int(left[i]) // pick.count(i) for i in set(pick))
+    sequence = counts.get(capacity, 0)
+    if sequence:
+        runs.append((capacity, 0, sequence, 0, 1, 0))
+    segments = [[x, 0, counts[x]] for x in sorted(counts, reverse=True) if capacity // 4 < x < capacity and counts[x]]
+    while segments:
+        grouped = group_sizes(segments, groups)
+        left = np.array([sum(e - s for _, s, e in g) for g in grouped], dtype=np.int64)
+        before = left.sum()
+        ways = configurations([g[0][0] for g in grouped], capacity)
+        if len(ways) > most_ways:
+            return None
+        solved = fewest_sequences(ways, left)
+        for way, often in sorted(solved, key=lambda x: -x[1]):
+            pick = [int(i) for i in way if i < len(grouped)]
+            times = min(int(often + 0.5), *(int(left[i]) // pick.count(i) for i in set(pick)))
+            if not times:
+                continue
             slots = []  # actual pieces for each place, in runs
             for i in pick:
                 slot, need = [], times
@@ -123,20 +145,24 @@ def plan_packing(counts: dict[int, int], capacity: int, groups: int = 400) -> li
             done = 0
             while done < times:
                 step = min(slot[0][2] for slot in slots)
-                used = 0
+                at = 0
                 for slot in slots:
                     length, rank, n = slot[0]
-                    runs.append((length, rank, rank + step, sequence + done, 1, used))
-                    used += length
+                    runs.append((length, rank, rank + step, sequence + done, 1, at))
+                    at += length
                     if n == step:
                         slot.pop(0)
                     else:
                         slot[0] = [length, rank + step, n - step]
-                bins.add(capacity - used, sequence + done, step)
+                bins.add(capacity - at, sequence + done, step)
                 done += step
             sequence += times
-    for length in sorted((x for x in counts if x <= capacity // 4), reverse=True):
-        rank, end = 0, counts[length]
+        segments = [segment for group in grouped for segment in group]
+        if left.sum() in (0, before) or left.sum() < 4:
+            break
+    rest = [*map(tuple, segments)]  # what fractions of ways leave over: a few sequences' worth
+    rest += [(x, 0, counts[x]) for x in sorted(counts, reverse=True) if x <= capacity // 4]
+    for length, rank, end in rest:
         while rank < end:
             found = bins.take(length)
             if found is None:
@@ -150,7 +176,27 @@ def plan_packing(counts: dict[int, int], capacity: int, groups: int = 400) -> li
             rank += take * each
             bins.add(space - each * length, first, take)
             bins.add(space, first + take, n - take)
-    return runs
+    return sequence, runs
+
+
+def plan_packing(counts: dict[int, int], capacity: int, groups: tuple[int, ...] = (8, 24, 64, 120, 300)) -> list[tuple[int, int, int, int, int, int]]:
+    """Runs (length, first rank, end rank, first sequence, pieces of it a sequence, offset) that place every piece.
+
+    Pieces above a quarter of the capacity are large, so at most three fit together. They are rounded up to the largest of their
+    group, groups being equal in number; a linear programme finds how often each configuration of rounded sizes is used so that they need the
+    fewest sequences; actual pieces are put in their places, which leaves some more space; and what the whole numbers leave over and the
+    small pieces, from the longest, go to the sequence with the least sufficient space. Few groups waste space and many leave
+    more over, so each of the given numbers of groups is planned (those with over MOST_WAYS configurations are not) until one needs no
+    more sequences than all tokens do, and the plan with the fewest is taken.
+    """
+    least = -(-sum(x * n for x, n in counts.items()) // capacity)
+    best = None
+    for number in groups:
+        plan = grouped_plan(counts, capacity, number)
+        best = plan if plan and (best is None or plan[0] < best[0]) else best
+        if best and best[0] <= least:
+            break
+    return best[1] if best else []
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,7 +224,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id
     return two.mapInArrow(cut, f"doc_id {two.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(cut: DataFrame, capacity: int = 2048, groups: int = 400) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = 2048, groups: tuple[int, ...] = (8, 24, 64, 120, 300)) -> DataFrame:
     """cut (a stored table with doc_id, piece and length, 1 to capacity) with sequence_id and offset.
 
     Lengths are dealt over salts for ranking, so that one frequent length is no single task. Repeated rows are packed each.
@@ -211,7 +257,7 @@ def pack(cut: DataFrame, capacity: int = 2048, groups: int = 400) -> DataFrame:
     return ranked.mapInArrow(place, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, groups: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, groups: tuple[int, ...] = (8, 24, 64, 120, 300), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece.
 
     Null and empty texts are one piece with only end_id. An empty table gives an empty table; other columns are not looked at.
