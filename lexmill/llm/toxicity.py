@@ -1,11 +1,13 @@
-"""Toxicity by a subsequence string kernel, a support vector machine and Nyström landmarks.
+"""Toxicity by a subsequence string kernel, a support vector machine and Nyström landmarks, trained on labelled sentences.
 
 The kernel compares two units (words, or runs of single letters) by the four-character subsequences that they share, gaps
 allowed; a subsequence weighs less the wider it is spread, so inserted characters cost a little instead of everything. Landmark units
-give each unit a bounded feature vector (Nyström), on which a linear machine is trained: the units of clean texts are clean, and of a
-toxic text one at least is toxic. Since the decision is linear in the subsequences of the landmarks, scoring only adds one weight a
-subsequence. Insults of ordinary words are found in sentences: two words in order, words between allowed, that weigh less the farther
-they are apart. A text scores by its two strongest words and its strongest sentence, weighed against each other in the calibration.
+give each unit a bounded feature vector (Nyström). An instance of the linear machine is a sentence: the vector of its strongest unit and a
+quarter of that of its second strongest word. Sentences of clean texts are clean; of a toxic text one sentence at least is toxic, its
+witness, which the present machine chooses before it is fitted anew. Since the decision is linear in the subsequences of the landmarks,
+scoring only adds one weight a subsequence. Insults of ordinary words are found in sentences, too: two words in order, words between
+allowed, that weigh less the farther they are apart. A text scores by its strongest sentence, words and pairs being weighed against
+each other in the calibration.
 """
 
 from __future__ import annotations
@@ -32,9 +34,11 @@ LANDMARK, TOXIC_LANDMARKS, CLEAN_LANDMARKS = 16, 256, 96
 SPREADS = [(h, i, j, DECAY ** (j + 1)) for j in range(3, SPAN) for i in range(2, j) for h in range(1, i)]
 #: Subsequences are hashed to so many bits.
 HASHED = 20
+#: What a sentence's second strongest word adds to its strongest.
+SECOND = 0.25
 #: Words between the two of a phrase, and toxic texts that must have it.
 PHRASE_GAP, PHRASE_TEXTS = 2, 4
-SENTENCE_END = re.compile(r"[.!?\n]+")
+SENTENCE_END = re.compile(r"[.!?]+(?=\s)|\n+")
 #: Four or more single characters with single spaces between: a spaced-out word.
 LETTERS = re.compile(r"(?<!\S)(?:\S[ \t]){3,}\S(?!\S)")
 EDGES = string.punctuation + "¡¿«»“”„‘’…–—"
@@ -57,6 +61,26 @@ def units_of(word: str) -> list[str]:
     return [w[at : at + LONGEST] for w in forms if w for at in ([0] if len(w) <= LONGEST else range(0, len(w) - step, step))]
 
 
+def instances_of(text: str) -> list[list[list[str]]]:
+    """The sentences of a text, each as its distinct words' units."""
+    return [words for s in SENTENCE_END.split(text) if (words := [u for w in sorted(set(words_of(s))) if (u := units_of(w))])]
+
+
+def strongest_units(sentence: list[list[str]], value) -> list[str]:
+    """The units with the highest values of the two strongest words of a sentence."""
+    return heapq.nlargest(2, [max(units, key=value) for units in sentence], key=value)
+
+
+def witness(sentences: list[list[list[str]]], value) -> list[list[str]]:
+    """The sentence of a toxic text that is likeliest toxic: by its strongest word and a quarter of its second."""
+
+    def decision(sentence):
+        first, *second = map(value, strongest_units(sentence, value))
+        return first + SECOND * sum(second)
+
+    return max(sentences, key=decision, default=[])
+
+
 def sentences_of(text: str) -> list[list[str]]:
     """The lower-case words of each sentence, without punctuation at their edges."""
     return [words for s in SENTENCE_END.split(text.lower()) if len(words := [w for v in s.split() if (w := v.strip(EDGES))]) > 1]
@@ -86,7 +110,7 @@ def toxic_phrases(bare: list[tuple[str, int]], clean: list[str]) -> set[tuple[st
             often.pop(p, None)
     found: set[tuple[str, str]] = set()
     for text, shared in bare if often else ():
-        if own := [p for p in pairs_of(text) if often.get(p, 0) >= 2 * shared]:
+        if own := [p for p in pairs_of(text) if p in often and often[p] >= 2 * shared]:
             found.update(sorted(own, key=lambda p: (-often[p], p))[:2])
     return found
 
@@ -189,19 +213,24 @@ class Scorer:
         self.known.update(zip(new, best.tolist()))
 
     def strongest(self, texts: list[str]) -> np.ndarray:
-        """Each whole text's strongest decision, and a quarter of that of its second strongest word; the machine's value for nothing stands for missing ones."""
+        """The decision of each whole text's strongest sentence: its strongest word's and a quarter of its second's; the machine's value for nothing stands for missing ones."""
         out, at = [], 0
         while at < len(texts):
             split, size = [], 0
             while at < len(texts) and (not split or size + len(texts[at]) <= SLICE):
-                split.append(words_of(texts[at]))
+                split.append([words_of(s) for s in SENTENCE_END.split(texts[at])])
                 size += len(texts[at])
                 at += 1
-            self.learn_words(set().union(*split))
-            look = self.known.__getitem__
-            none = [self.bias, self.bias]
-            out += [heapq.nlargest(2, [*map(look, set(words)), *none]) for words in split]
-        return np.array(out).reshape(-1, 2) @ np.array([1.0, 0.25])
+            self.learn_words({w for sentences in split for words in sentences for w in words})
+            look, none = self.known.__getitem__, (1 + SECOND) * self.bias
+            for sentences in split:
+                best = none
+                for words in sentences:
+                    values = sorted(map(look, set(words)))[-2:]
+                    if values and (now := values[-1] + SECOND * (values[0] if len(values) > 1 else self.bias)) > best:
+                        best = now
+                out.append(best)
+        return np.array(out)
 
     def sentence(self, text: str) -> float:
         """The decision of a text's strongest sentence: 1 for a phrase's two words side by side, less for each word between."""
@@ -259,17 +288,15 @@ def train_on(sample: list[tuple[str, int]], most_units: int = 12_000) -> Scorer:
     labels = np.array([label for _, label in sample])
     empty.platt = platt(np.zeros(len(sample)), labels)
     held = np.arange(len(sample)) % 3 == 2
-    bags: list[tuple[int, set[str]]] = []
     fitted = [x for x, h in zip(sample, held) if not h]
-    for (text, label), h in zip(sample, held):
-        if not h:
-            bags.append((label, {u for s in SENTENCE_END.split(text) for w in words_of(s) for u in units_of(w)}))
-    n = [sum(label == k for label, _ in bags) for k in (0, 1)]
+    sentences = [instances_of(text) for text, _ in fitted]
+    label_of = [label for _, label in fitted]
+    n = [label_of.count(0), label_of.count(1)]
     if not n[0] or not n[1]:
         return empty
     seen: dict[str, list[int]] = {}
-    for label, units in bags:
-        for u in units:
+    for label, own in zip(label_of, sentences):
+        for u in {u for sentence in own for units in sentence for u in units}:
             seen.setdefault(u, [0, 0])[label] += 1
 
     def strength(u: str) -> float:
@@ -278,7 +305,16 @@ def train_on(sample: list[tuple[str, int]], most_units: int = 12_000) -> Scorer:
         p = (clean + toxic + 1) / (n[0] + n[1] + 2)
         return (toxic / n[1] - clean / n[0]) / (p * (1 - p) * (1 / n[0] + 1 / n[1])) ** 0.5
 
+    for _ in range(2):  # what a toxic text's label says goes to its witness; a unit counts as toxic only where it stands in one
+        strong = {u: strength(u) for u in seen}
+        chosen = [[witness(own, strong.__getitem__)] if label else own for label, own in zip(label_of, sentences)]
+        for both in seen.values():
+            both[1] = 0
+        for label, own in zip(label_of, chosen):
+            for u in {u for sentence in own for units in sentence for u in units} if label else ():
+                seen[u][1] += 1
     strong = {u: strength(u) for u in seen}
+    bags = [(label, {u for sentence in own for units in sentence for u in units}) for label, own in zip(label_of, chosen)]
     ranked = sorted((u for u in seen if seen[u][1]), key=lambda u: (-strong[u], u))
     inside: dict[str, list[int]] = {}
     for k, (label, units) in enumerate(bags):
@@ -330,6 +366,7 @@ def train_on(sample: list[tuple[str, int]], most_units: int = 12_000) -> Scorer:
     values, vectors = np.linalg.eigh((among + among.T) / 2)
     root = vectors / np.sqrt(np.maximum(values, 1e-4))  # Nyström: features of a unit are its kernel values times this
     negatives = clean[:: max(1, len(clean) // most_units)][:most_units]
+    decided: dict[str, float] = {}
     for _ in range(3):
         sure: dict[str, float] = {}  # a sought unit counts as its texts do, up to four
         for u in sorted(witnesses | found):
@@ -338,16 +375,34 @@ def train_on(sample: list[tuple[str, int]], most_units: int = 12_000) -> Scorer:
         units = [*sure, *negatives]
         y = np.where(np.arange(len(units)) < len(sure), 1.0, -1.0)
         weight = np.array([*sure.values(), *[1.0] * len(negatives)])
-        weight[: len(sure)] *= len(negatives) / sum(sure.values())
-        w, bias = machine(kernel.rows(units) @ root, y, weight)
+        vectors = kernel.rows(units)
+        if decided:  # whole sentences: the witnesses, and those of clean texts by their strongest words; sentences of the same words are one
+            value = decided.__getitem__
+            pairs: dict[tuple[int, tuple[str, ...]], int] = {}
+            for label, own in zip(label_of, sentences):
+                for sentence in [witness(own, value)] if label else own:
+                    key = (label, tuple(strongest_units(sentence, value)))
+                    if key[1] and (not label or key[1][0] in sure):
+                        pairs[key] = pairs.get(key, 0) + 1
+            kept = sorted(pairs, key=lambda k: (-k[0], -value(k[1][0]), k))
+            toxic = sum(label for label, _ in kept)
+            kept = kept[: toxic + most_units // 2]
+            place = {u: i for i, u in enumerate(sorted({u for _, own in kept for u in own}))}
+            parts = kernel.rows(list(place))
+            vectors = np.concatenate([vectors, np.stack([parts[place[own[0]]] + (SECOND * parts[place[own[1]]] if len(own) > 1 else 0) for _, own in kept])]) if kept else vectors
+            y = np.concatenate([y, [1.0 if label else -1.0 for label, _ in kept]])
+            weight = np.concatenate([weight, [min(4.0, float(pairs[k])) for k in kept]])
+        weight[y > 0] *= weight[y < 0].sum() / weight[y > 0].sum()
+        w, bias = machine(vectors @ root, y, weight)
         weights = np.zeros(1 << HASHED, dtype=np.float32)
         weights[kernel.keys] = kernel.weights[1:] @ (root @ w)
-        scorer = Scorer(kernel.characters, weights, bias)
-        decided = dict(zip(clean, scorer.decide(clean).tolist()))
+        scorer = Scorer(kernel.characters, weights, bias / (1 + SECOND))
+        everything = list(seen)
+        decided = dict(zip(everything, scorer.decide(everything).tolist()))
         hard = sorted(clean, key=lambda u: (-decided[u], u))[: most_units // 6]
         negatives = sorted({*negatives, *hard})
         if bare:
-            found = sought(dict(zip(often, scorer.decide(list(often)).tolist())))
+            found = sought(decided)
     scorer.phrases = empty.phrases
     scorer.platt = platt(scorer.columns([t for (t, _), h in zip(sample, rest) if h]), labels[rest])
     scorer.known.clear()
