@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
@@ -381,6 +382,42 @@ def test_html_names_do_not_drop_the_article(spark):
     assert texts_of(spark, [("h", f"<body><div>{article}<div class=related><article class=card>teaser</article></div>{side}<p>a <span class=share>no</span>b</div></body>")]) == [f"{whole} a b"]
 
 
+def test_html_hosts_decide_what_is_furniture(spark):
+    """No name tells the menu and the box on one host; their repetition does. On another host, where the same elements differ, they stay, as do a single page's; copies of one page are no repetition."""
+    def page(k, box):
+        return f"<body><div class=xa>Home News About {box}</div><div class=xb><h1>Head</h1><p>{'running text ' * 20}{k}</p><div class=xc>{box}</div><p>last</p></div></body>"
+
+    body = lambda k: f"{'running text ' * 20}{k}"
+    pages = [("same", page(k, "Buy now")) for k in range(6)] + [("mixed", page(k, f"box {k}")) for k in range(6)] + [("one", page(1, "Buy now"))] + [("copies", page(1, "Buy now"))] * 5
+    got = texts_of(spark, pages)
+    assert got[:6] == [f"Head {body(k)} last" for k in range(6)]
+    assert got[6:12] == [f"Head {body(k)} box {k} last" for k in range(6)]
+    assert got[12:] == [f"Head {body(1)} Buy now last"] * 6
+
+
+def test_html_the_vote_decides(spark):
+    """A host's pages elect the article's container; a page whose own best container is another follows, one without the winner doesn't."""
+    usual = [("h", f"<body><div class=main-col><h1>Head</h1><p>{'running text ' * 20}{k}</p></div><div class=y>short {k}</div></body>") for k in range(20)]
+    odd = f"<body><div class=main-col><h1>Head</h1><p>a short article</p></div><div class=y><p>{'long list of reactions ' * 30}</p><p>x</p></div></body>"
+    other = f"<body><div class=z><h1>Else</h1><p>{'other text ' * 20}</p></div></body>"
+    got = texts_of(spark, [*usual, ("h", odd), ("h", other), ("lone", odd)])
+    assert got[20:22] == ["Head a short article", "Else " + ("other text " * 20).strip()]
+    assert "long list" in got[22]
+
+
+def test_html_deep_broken_and_repeated_pages(spark):
+    """Depth and unclosed tags cost time in proportion; repeated rows stay; no rows give none."""
+    deep = "<div>" * 20_000 + "core" + "</div>" * 20_000
+    broken = "<i>" * 20_000 + "</b>" * 20_000 + "<div>x</div>" * 2_000
+    nested = "<ul><li><p>" * 5_000 + "end"
+    began = time.time()
+    assert [html_extract.Page(x).extract(None) for x in (deep, broken, nested)] == ["core", " ".join(["x"] * 2_000), "end"]
+    assert time.time() - began < 20
+    frame = spark.createDataFrame([(1, "http://a.example/", "<p>same"), (1, "http://a.example/", "<p>same"), (None, None, "<p>no id")], "page_id long, url string, html string")
+    assert sorted(r["text"] for r in html_extract.extract(frame).collect()) == ["no id", "same", "same"]
+    assert html_extract.extract(frame.limit(0)).count() == 0
+
+
 def syllables(i, words=40):
     r = random.Random(i)
     return " ".join("".join(r.choice("bcdfghklmnprst") + r.choice("aeiou") for _ in range(r.randint(1, 3))) for _ in range(words))
