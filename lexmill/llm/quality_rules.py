@@ -20,7 +20,7 @@ WINDOW = 8
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
-    """How many words lie in windows that occur twice or more; windows are compared by a 64-bit hash of their words."""
+    """How many words lie in windows that occur twice or more; windows with equal 64-bit hashes are compared word by word."""
     n = len(words) - window + 1
     if n < 2:
         return 0
@@ -31,11 +31,14 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
             rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + (h[j : j + n] ^ (h[j : j + n] >> np.uint64(29)))
     order = np.argsort(rolled, kind="stable")
     same = rolled[order][1:] == rolled[order][:-1]
-    twice = np.zeros(n + 1, dtype=np.int64)
-    twice[order[1:][same]] = 1
-    twice[order[:-1][same]] = 1
+    if not same.any():
+        return 0
+    alike = np.unique(np.concatenate([order[1:][same], order[:-1][same]])).tolist()
+    found: dict[tuple[bytes, ...], list[int]] = {}
+    for i in alike:
+        found.setdefault(tuple(words[i : i + window]), []).append(i)
     edges = np.zeros(len(words) + 1, dtype=np.int64)
-    at = np.nonzero(twice)[0]
+    at = np.array([i for places in found.values() if len(places) > 1 for i in places], dtype=np.int64)
     np.add.at(edges, at, 1)
     np.add.at(edges, at + window, -1)
     return int((np.cumsum(edges[:-1]) > 0).sum())
