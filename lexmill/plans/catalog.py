@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lexmill.plans import cases, graphs, quality, resolution, retrieval, schemas, texts
+from lexmill.plans import cases, graphs, planned, quality, resolution, retrieval, schemas, texts
 
 FLAGSHIP = "hybrid_search"
-QUERIES = {name: q for module in (retrieval, graphs, quality, texts, cases, resolution, schemas) for name, q in module.query.queries.items()}
-ORACLE_SQL = {name: sql for module in (retrieval, graphs, quality, texts, cases, resolution, schemas) for name, sql in module.query.sql.items()}
+QUERIES = {name: q for module in (retrieval, graphs, quality, texts, cases, resolution, schemas, planned) for name, q in module.query.queries.items()}
+ORACLE_SQL = {name: sql for module in (retrieval, graphs, quality, texts, cases, resolution, schemas, planned) for name, sql in module.query.sql.items()}
