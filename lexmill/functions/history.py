@@ -23,7 +23,7 @@ EFFECTS = {
     "delayed_effective": ["notwithstanding the effective date"],
 }
 #: Which column an effect's first date goes to.
-DATE_COLUMNS = {"effective_date": ["effective", "delayed_effective", "retroactive"], "operative_date": ["operative"], "repeal_date": ["repeal"], "expiration_date": ["expires", "sunset"]}
+DATE_COLUMNS = {"effective_date": ["effective"], "operative_date": ["operative"], "repeal_date": ["repeal"], "expiration_date": ["expires", "sunset"]}
 SECTION = r"[0-9]{1,3}[A-Z]?\.[0-9]{3}"
 LINEAGE = [("formerly", rf"(?i)formerly\s+(?:ORS\s+)?({SECTION})"), ("renumbered_to", rf"(?i)renumbered\s+(?:ORS\s+)?({SECTION})"), ("repealed_by", r"(?i)repealed by\s+([0-9]{4} c\.[0-9]+)")]
 SESSION_LAW = r"\b([0-9]{4}) c\.([0-9]+)(?: §+([0-9]+))?"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,12 +64,30 @@ def index_summary(documents: DataFrame, status: str, digest: str) -> DataFrame:
     return documents.withColumn("__n", F.row_number().over(w)).groupBy(status).agg(F.count("*").alias("n"), F.count_if(F.col("__n") > 1).alias("repeated"))
 
 
+def patched(base, patch):
+    """A JSON value after a merge patch: objects merge key by key, null removes a key, anything else replaces."""
+    if not isinstance(patch, dict) or not isinstance(base, dict):
+        return patch
+    out = {k: v for k, v in base.items() if k not in patch}
+    for key, value in patch.items():
+        if value is not None:
+            out[key] = patched(base.get(key), value)
+    return out
+
+
 def merge_patch(base: Column, patch: Column) -> Column:
-    """A flat JSON merge patch: the patch's keys replace the base's, and its nulls remove them. Keys are sorted."""
-    text = "map<string,string>"
-    a, b = F.coalesce(F.from_json(base, text), F.create_map().cast(text)), F.coalesce(F.from_json(patch, text), F.create_map().cast(text))
-    joined = F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), F.map_filter(b, lambda _, v: v.isNotNull()))
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(joined))))
+    """A JSON merge patch, nested objects too; types stay. Keys are sorted. A null or broken patch leaves the base, a null base is empty."""
+
+    def merged(bases: pd.Series, patches: pd.Series) -> pd.Series:
+        def one(b, p):
+            try:
+                return json.dumps(patched(json.loads(b) if b else {}, json.loads(p)), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+            except (TypeError, ValueError):
+                return b
+
+        return pd.Series([one(b, p) for b, p in zip(bases, patches)])
+
+    return F.pandas_udf(merged, "string")(base, patch)
 
 
 def overlapping(left: DataFrame, right: DataFrame, key: str, width: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import CHARS_PER_TOKEN, estimate_tokens
+from lexmill.operators.loading import spread
 
 #: Token budgets by kind of chunk; editions before the given year have that much less.
 BUDGETS = {"full_statute": 28_000, "full_statute_context": 26_000, "contextual_provision": 16_000, "citation_context": 16_000, "definition_block": 18_000, "exception_block": 16_000, "penalty_block": 14_000}
@@ -66,7 +67,7 @@ def chunks(df: DataFrame, id_col: str, text_col: str, tokens: int, overlap_words
         return pd.Series(out)
 
     split = F.pandas_udf(parts_of, "array<string>")
-    rows = df.select(F.col(id_col).alias("id"), split(F.col(text_col)).alias("p")).select("id", F.size("p").alias("parts"), F.posexplode("p").alias("part", "text"))
+    rows = spread(df).select(F.col(id_col).alias("id"), split(F.col(text_col)).alias("p")).select("id", F.size("p").alias("parts"), F.posexplode("p").alias("part", "text"))
     return rows.select("id", "part", "parts", "text", estimate_tokens(F.col("text")).alias("n_tokens"))
 
 

@@ -5,15 +5,26 @@ from __future__ import annotations
 import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df cut off from its lineage by a checkpoint in the folder that the session names (a temporary one where it names none, as in tests)."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, which has one machine, may go without."""
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not at:
+        if context.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="spark-")
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df cut off from its lineage by a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import roman_to_int, to_roman
+from lexmill.operators.loading import spread
 
 SECTION = r"\d{1,3}[A-Z]?\.\d{3}(?:\([^)]+\))?"
 RANGE = r"(?i)\b(?:(ORS|UTCR)\s+)?(\d{1,3}[A-Z]?)\.(\d{3})(?:\([^)]+\))*\s+(?:to|through|thru|-|–)\s+(?:(ORS|UTCR)\s+)?(\d{1,3}[A-Z]?)\.(\d{3})(?:\([^)]+\))*"
@@ -195,7 +196,7 @@ def without(text: Column, raws: Column) -> Column:
 def plan(queries: DataFrame, query_col: str, family_col: str | None = None) -> DataFrame:
     """queries with normalized, citations, ranges, chapter, family, residual, intent, retrieval (the text to search for), chapter_filter and mode (citation for a bare citation or chapter, else hybrid)."""
     family = F.nullif(F.upper(F.trim(F.col(family_col))), F.lit("")) if family_col else F.lit(None).cast("string")
-    named = queries.withColumn("normalized", normalized_query(F.col(query_col), family))
+    named = spread(queries).withColumn("normalized", normalized_query(F.col(query_col), family))
     n = F.col("normalized")
     read = named.withColumns({"ranges": query_ranges(n), "citations": query_citations(n)})
     part = lambda i: F.nullif(F.regexp_extract(n, CHAPTER, i), F.lit(""))

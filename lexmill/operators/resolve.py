@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SECTION = r"([0-9]{1,3}[A-Z]?\.[0-9]{3})"
-
 
 def canonical_id(citation: Column) -> Column:
     """The canonical id of a citation string: chapter, section or rule; null for others."""
@@ -53,7 +51,8 @@ def range_edges(mentions: DataFrame, identities: DataFrame) -> DataFrame:
 def enriched(hits: DataFrame, cites: DataFrame, definitions: DataFrame, most: int = 5) -> DataFrame:
     """hits (id, score) with the first cited targets and definitions of each, for a retrieval context."""
     def first(df: DataFrame, column: str, name: str) -> DataFrame:
-        return df.groupBy("id").agg(F.slice(F.array_sort(F.collect_set(column)), 1, most).alias(name))
+        ranked = df.select("id", column).distinct().withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(column))).where(F.col("n") <= most)
+        return ranked.groupBy("id").agg(F.array_sort(F.collect_list(column)).alias(name))
 
     wanted = hits.select("id").distinct()
     cited = first(cites.join(wanted, "id", "left_semi"), "target", "cited")

@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexmill.operators.loading import spread
+
 #: Parameters of the lexical score, and the rank offset of the fusion.
 BM25_K1, BM25_B, RRF_K = 1.2, 0.75, 60
-#: Query intents in the order in which they are tried; the first pattern that matches decides.
-INTENTS = [
-    ("citation", r"^(ORS|UTCR)\s+[0-9]{1,3}[A-Z]?\.[0-9]{3}(\([^)]+\))?$"),
-    ("chapter", r"(?i)^((ORS|UTCR)\s+)?chapter\s+[0-9]{1,3}[A-Z]?$"),
-    ("definition", r"(?i)^definition\s+of|defines?\b|meaning\s+of"),
-    ("deadline", r"(?i)deadline|within\s+[0-9]+\s+days|by\s+the\s+\w+\s+day|how long|when must"),
-    ("penalty", r"(?i)penalty|fine|misdemeanor|felony|punished\s+by"),
-    ("notice", r"(?i)notice|notify|inform\b"),
-    ("actor", r"(?i)landlord|tenant|director|department|public\s+body|must .* do|shall"),
-    ("history", r"(?i)operative|effective|amended|repealed|renumbered|session law|current"),
-]
+#: Buckets of terms in a stored index; a search reads only those of its terms.
+BUCKETS = 64
 
 
 def tokens(text: Column) -> Column:
@@ -37,25 +31,32 @@ def lexical_range(tables: list[DataFrame], key_col: str, start: str, end: str, l
     return found.distinct().orderBy(key_col).limit(limit)
 
 
-def bm25(docs: DataFrame, id_col: str, text_col: str, terms: list[str], conjunctive: bool = False) -> DataFrame:
-    """id and score of texts with any (or all) of the terms. One scan counts terms and lengths; nothing but matching rows is shuffled."""
-    words = tokens(F.col(text_col))
-    wanted = sorted(set(terms))
-    split = docs.select(F.col(id_col).alias("id"), words.alias("words"))
-    counted = split.select("id", F.size("words").alias("length"), *[F.size(F.filter("words", equals(t))).alias(f"tf{i}") for i, t in enumerate(wanted)])
-    facts = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
-    score = F.lit(0.0)
-    for i in range(len(wanted)):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        score = score + idf * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.col("mean")))
-    hits = [F.col(f"tf{i}") > 0 for i in range(len(wanted))]
-    keep = reduce(lambda a, b: a & b if conjunctive else a | b, hits, F.lit(conjunctive))
-    return counted.where(keep).crossJoin(F.broadcast(facts)).select("id", score.alias("score"))
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def equals(term: str):
-    return lambda w: w == F.lit(term)
+def build_index(docs: DataFrame, id_col: str, text_col: str, path: str) -> None:
+    """Stores a full-text index: postings (term, id, tf, length) in buckets of terms, ordered by term, and one row of facts (n, mean). ids are unique; null texts have no words but count."""
+    words = spread(docs).select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words")).withColumn("length", F.size("words"))
+    postings = words.select("id", "length", F.explode("words").alias("term")).groupBy("id", "length", "term").agg(F.count("*").cast("int").alias("tf"))
+    placed = postings.withColumn("bucket", bucket(F.col("term")))
+    placed.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    words.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).write.parquet(f"{path}/facts")
+
+
+def bm25(spark: SparkSession, path: str, terms: list[str], conjunctive: bool = False) -> DataFrame:
+    """id and score of texts of a stored index with any (or all) of the terms. Only the terms' postings are read, and only matching rows shuffled."""
+    wanted = sorted(set(terms))
+    buckets = [r[0] for r in spark.createDataFrame([(t,) for t in wanted], "term string").select(bucket(F.col("term"))).collect()]
+    hits = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(wanted))
+    facts = spark.read.parquet(f"{path}/facts").first()
+    n, mean = facts["n"], facts["mean"] or 1.0
+    df = {r["term"]: r["df"] for r in hits.groupBy("term").agg(F.count("*").alias("df")).collect()}
+    idf = F.create_map(*[F.lit(x) for t in wanted for x in (t, math.log(1 + (n - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5)))])
+    tf = F.col("tf")
+    part = idf[F.col("term")] * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.lit(mean)))
+    scored = hits.select("id", part.alias("part")).groupBy("id").agg(F.sum("part").alias("score"), F.count("*").alias("terms"))
+    return (scored.where(F.col("terms") == len(wanted)) if conjunctive else scored).select("id", "score")
 
 
 def cosine(vector: Column, query: Column) -> Column:
@@ -103,13 +104,6 @@ def fold_duplicates(rows: DataFrame, key_col: str = "key") -> DataFrame:
     return grouped.select(key_col, F.size("hits").cast("long").alias("arms"), merged.alias("score"), best.alias("kind"))
 
 
-def intent(query: Column) -> Column:
-    found = F
-    for name, pattern in INTENTS:
-        found = found.when(F.regexp_like(query, F.lit(pattern)), name)
-    return found.otherwise("general")
-
-
 def facets(rows: DataFrame, columns: list[str]) -> DataFrame:
     """facet, value and n of each column, in one pass over the rows."""
     pairs = F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns])
@@ -172,14 +166,15 @@ def expansion_boost(text: Column, terms: list[str]) -> Column:
     return F.least(F.lit(0.2) * sum((F.contains(low, F.lit(t.lower())).cast("int") for t in terms), F.lit(0)), F.lit(0.8))
 
 
-def search_request(docs: DataFrame, id_col: str, text_col: str, terms: list[str], features: DataFrame, limit: int, offset: int = 0, where: Column | None = None) -> DataFrame:
-    """A page of a search: early filters, lexical candidates, boosts from features (id and the columns of legal_boosts), order, page.
+def search_request(spark: SparkSession, path: str, terms: list[str], features: DataFrame, limit: int, offset: int = 0, where: Column | None = None) -> DataFrame:
+    """A page of a search: lexical candidates of a stored index, early filters, boosts from features (id and the columns of legal_boosts), order, page.
 
-    Only the candidate window meets in one task.
+    where: a condition on features that a candidate must meet before the window is cut. Only the window meets in one task.
     """
     _, window = candidate_window(limit, offset)
-    rows = docs if where is None else docs.where(where)
-    found = bm25(rows, id_col, text_col, terms).orderBy(F.desc("score"), "id").limit(window)
-    ranked = top_ranks(found, "score", window, "rank").withColumn("base", rank_score(2.0, F.col("rank")))
+    found = bm25(spark, path, terms)
+    if where is not None:
+        found = found.join(features.where(where).select("id"), "id", "left_semi")
+    ranked = top_ranks(found.orderBy(F.desc("score"), "id").limit(window), "score", window, "rank").withColumn("base", rank_score(2.0, F.col("rank")))
     boosted = legal_boosts(ranked.join(features, "id")).withColumn("total", F.col("base") + F.col("boost"))
     return boosted.select("id", "base", "boost", "total").orderBy(F.desc("total"), "id").offset(offset).limit(limit)

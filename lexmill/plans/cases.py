@@ -117,8 +117,9 @@ def overlapping_ranges(t):
     return casework.overlapping(a, b, "k", 50).select("a", "b", "k")
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '{"a":"1"}' ELSE '{"a":"2","b":"' || c_custkey || '"}' END AS merged FROM customer""")
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '{"a":1,"n":{"x":1}}' WHEN 1 THEN '{"a":2,"b":' || c_custkey || ',"n":{"x":1,"y":[2,null]}}' ELSE '{"a":1,"b":' || c_custkey || ',"n":"plain"}' END AS merged FROM customer""")
 def merged_payloads(t):
-    base = F.concat(F.lit('{"a":"1","b":"'), F.col("c_custkey").cast("string"), F.lit('"}'))
-    patch = F.when(F.col("c_custkey") % 2 == 0, '{"b":null}').otherwise('{"a":"2"}')
+    """Nested merges, removals and replacements; numbers stay numbers."""
+    base = F.concat(F.lit('{"a":1,"b":'), F.col("c_custkey").cast("string"), F.lit(',"n":{"x":1,"y":2}}'))
+    patch = F.when(F.col("c_custkey") % 3 == 0, '{"b":null,"n":{"y":null}}').when(F.col("c_custkey") % 3 == 1, '{"a":2,"n":{"y":[2,null]}}').otherwise('{"n":"plain"}')
     return t("customer").select("c_custkey", casework.merge_patch(base, patch).alias("merged"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from lexmill.operators import search
+from lexmill.operators import planning, search
+from lexmill.operators.graph import shared_folder
 from lexmill.plans.registry import Registry
 
 query = Registry()
@@ -20,8 +23,24 @@ VECTORS = """
     vec AS (SELECT vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], q.v) AS similarity FROM embeddings, q)"""
 
 
-def bm25_scores(t):
-    return search.bm25(t("documents"), "doc_id", "text", TERMS)
+#: Where each table's index is, by session and table: it is built when first asked for and searched from then on.
+INDEXES: dict[tuple[str, str], str] = {}
+
+
+def index_of(t):
+    """The session and the path of the stored index of the documents."""
+    docs = t("documents")
+    spark = docs.sparkSession
+    key = (spark.sparkContext.applicationId, ",".join(sorted(docs.inputFiles())))
+    if key not in INDEXES:
+        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        search.build_index(docs, "doc_id", "text", path)
+        INDEXES[key] = path
+    return spark, INDEXES[key]
+
+
+def bm25_scores(t, conjunctive=False):
+    return search.bm25(*index_of(t), TERMS, conjunctive)
 
 
 def first_vector(t):
@@ -37,7 +56,7 @@ def fulltext_search(t):
 @query(f"WITH w AS (SELECT doc_id, {TOKENS} AS words FROM documents) SELECT doc_id AS id FROM w WHERE list_contains(words, 'the') AND list_contains(words, 'erth') AND list_contains(words, 'ingth')")
 def conjunctive_search(t):
     """Texts that have all terms."""
-    return search.bm25(t("documents"), "doc_id", "text", TERMS, conjunctive=True).select("id")
+    return bm25_scores(t, conjunctive=True).select("id")
 
 
 @query(f"WITH {VECTORS} SELECT id, round(similarity, 6) AS similarity FROM vec ORDER BY vec.similarity DESC, id LIMIT 20")
@@ -138,12 +157,12 @@ def query_intents(t):
     """Intents of queries, the first rule that matches deciding."""
     words = F.array(*[F.lit(x) for x in ("definition of ", "within 30 days ", "penalty for ", "notice to ", "zzz ")])
     q = F.concat(F.get(words, (F.col("doc_id") % 5).cast("int")), F.col("doc_id").cast("string"))
-    return t("labels").select("doc_id", search.intent(q).alias("intent"))
+    return t("labels").select("doc_id", planning.intent(q).alias("intent"))
 
 
 @query(
-    f"""WITH {BM25.replace("FROM documents)", "FROM documents WHERE doc_id % 3 <> 2)")},
-    top AS (SELECT id, 2.0::DOUBLE / sqrt(row_number() OVER (ORDER BY score DESC, id)) AS base FROM (SELECT * FROM lex ORDER BY score DESC, id LIMIT 160)),
+    f"""WITH {BM25},
+    top AS (SELECT id, 2.0::DOUBLE / sqrt(row_number() OVER (ORDER BY score DESC, id)) AS base FROM (SELECT lex.* FROM lex JOIN documents ON doc_id = id WHERE lang = 'en' ORDER BY score DESC, id LIMIT 160)),
     l2 AS (SELECT d.doc_id AS id, d.n_chars, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)),
     b AS (SELECT id, base, (CASE WHEN id % 50 = 0 THEN 50 ELSE 0 END) + (CASE WHEN quality = 1 THEN 1 ELSE 0 END) + (CASE WHEN id % 4 > 0 THEN 0.5::DOUBLE ELSE -2 END) + 0.1::DOUBLE * (id % 5)
        + (CASE WHEN id % 7 = 0 THEN 0.35::DOUBLE WHEN id % 7 = 1 THEN -0.1::DOUBLE ELSE 0 END) + (CASE WHEN id % 2 = 0 THEN 0.35::DOUBLE ELSE -0.2::DOUBLE END)
@@ -155,7 +174,7 @@ def search_request(t):
     key = F.col("doc_id")
     facts = t("documents").join(t("labels").select("doc_id", "quality"), "doc_id", "left").select(
         key.alias("id"), (key % 50 == 0).alias("exact"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("source_backed"), F.when(key % 4 == 0, "Repealed").otherwise("active").alias("status"), (0.1 * (key % 5)).alias("weight"),
-        (key % 7 == 0).alias("primary_law"), (key % 7 == 1).alias("commentary"), F.when(key % 2 == 0, "provision").otherwise("chunk").alias("kind"), (key % 10 + 1).alias("citations"), F.col("n_chars").alias("links"), (key % 3).alias("warnings"),
+        (key % 7 == 0).alias("primary_law"), (key % 7 == 1).alias("commentary"), F.when(key % 2 == 0, "provision").otherwise("chunk").alias("kind"), (key % 10 + 1).alias("citations"), F.col("n_chars").alias("links"), (key % 3).alias("warnings"), "lang",
     )
-    found = search.search_request(t("documents"), "doc_id", "text", TERMS, facts, 20, where=key % 3 != 2)
+    found = search.search_request(*index_of(t), TERMS, facts, 20, where=F.col("lang") == "en")
     return found.select("id", *[F.round(c, 6).alias(c) for c in ("base", "boost", "total")])

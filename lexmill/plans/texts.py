@@ -10,48 +10,69 @@ from lexmill.plans.registry import Registry
 from lexmill.sources import pages
 
 query = Registry()
-#: A provision written about each order, for the operators that read legal text.
-PROVISION = """(SELECT o_orderkey AS id, 'Under ORS ' || lpad((o_orderkey % 900 + 1)::VARCHAR, 3, '0') || '.' || lpad((o_custkey % 1000)::VARCHAR, 3, '0') || ' (' || (o_orderkey % 4 + 1) || '), a person shall pay $' || (o_totalprice::BIGINT) || ' within ' || (o_custkey % 60 + 1) || ' days after notice, unless waived. Effective January ' || (o_orderkey % 28 + 1) || ', 2021; see ORS chapter ' || (o_orderkey % 90 + 1) || '.' AS t FROM orders)"""
+#: Provisions with a chapter, a section, an amount and a number of days.
+PROVISIONS = [
+    "Under ORS {c}.{s} through {c}.{s}, the landlord shall pay ${p} within {d} days after notice, unless waived.",
+    "ors {c}.{s} (1)(a), {c}.{s} or {d}.010 applies; the tenant may not refuse the department entry.",
+    "The tax under ORS chapter {c} may not exceed {d} percent of the assessed value.",
+    'As used in ORS {c}.001 to {c}.{s}, "dwelling" means a unit.',
+    "A person who violates ORS chapters {c} to {d} commits a Class A misdemeanor and owes a civil penalty not to exceed ${p}.",
+    "The applicant must use the form on or before January {d}, 2021, if the landlord may recover damages.",
+]
+QUOTED = ", ".join("'" + p.replace("'", "''") + "'" for p in PROVISIONS)
+PROVISION = f"(SELECT o_orderkey AS id, replace(replace(replace(replace([{QUOTED}][o_orderkey % {len(PROVISIONS)} + 1], '{{c}}', (o_custkey % 90 + 10)::VARCHAR), '{{s}}', lpad((o_custkey % 1000)::VARCHAR, 3, '0')), '{{p}}', (o_totalprice::BIGINT)::VARCHAR), '{{d}}', (o_custkey % 28 + 1)::VARCHAR) AS t FROM orders)"
+SECTION = r"[0-9]{1,3}\.[0-9]{3,4}(?:\s*\([^)]+\))*"
 
 
 def provisions(t):
     n = lambda c: c.cast("string")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    body = F.concat(
-        F.lit("Under ORS "), F.lpad(n(key % 900 + 1), 3, "0"), F.lit("."), F.lpad(n(cust % 1000), 3, "0"), F.lit(" ("), n(key % 4 + 1), F.lit("), a person shall pay $"), n(F.rint("o_totalprice").cast("long")), F.lit(" within "), n(cust % 60 + 1),
-        F.lit(" days after notice, unless waived. Effective January "), n(key % 28 + 1), F.lit(", 2021; see ORS chapter "), n(key % 90 + 1), F.lit("."),
-    )
+    body = F.get(F.array(*[F.lit(p) for p in PROVISIONS]), (key % len(PROVISIONS)).cast("int"))
+    for name, value in (("{c}", n(cust % 90 + 10)), ("{s}", F.lpad(n(cust % 1000), 3, "0")), ("{p}", n(F.rint("o_totalprice").cast("long"))), ("{d}", n(cust % 28 + 1))):
+        body = F.replace(body, F.lit(name), value)
     return t("orders").select(key.alias("id"), body.alias("t"))
 
 
 @query(
-    rf"""SELECT id, 'subsection' AS kind, regexp_replace(regexp_extract(t, 'ORS [0-9]{{3}}\.[0-9]{{3}} \([0-9]\)'), ' \(', '(') AS normalized FROM {PROVISION}
-    UNION ALL SELECT id, 'chapter', regexp_extract(t, 'ORS chapter [0-9]+') FROM {PROVISION}"""
+    rf"""WITH p AS (SELECT id, t FROM {PROVISION}), r AS (SELECT id, unnest(regexp_extract_all(t, '(?i)\bORS\s+{SECTION}\s+(?:to|through)\s+{SECTION}')) AS m FROM p),
+    g AS (SELECT id, unnest(regexp_extract_all(regexp_replace(t, '(?i)\bORS\s+{SECTION}\s+(?:to|through)\s+{SECTION}', ' ', 'g'), '(?i)\bORS\s+{SECTION}(?:\s*(?:,|or|and)\s*{SECTION})*')) AS m FROM p),
+    s AS (SELECT id, unnest(regexp_extract_all(m, '{SECTION}')) AS m FROM g)
+    SELECT id, 'statute_range' AS kind, 'ORS ' || regexp_extract_all(m, '[0-9]+\.[0-9]+')[1] || ' to ' || regexp_extract_all(m, '[0-9]+\.[0-9]+')[2] AS normalized FROM r
+    UNION SELECT id, CASE WHEN contains(m, '(') THEN 'statute_subsection' ELSE 'statute_section' END, 'ORS ' || replace(m, ' ', '') FROM s
+    UNION SELECT id, 'statute_chapter_range', 'ORS chapters ' || regexp_extract(t, 'ORS chapters ([0-9]+) to ([0-9]+)', 1) || ' to ' || regexp_extract(t, 'ORS chapters ([0-9]+) to ([0-9]+)', 2) FROM p WHERE regexp_matches(t, 'ORS chapters')
+    UNION SELECT id, 'statute_chapter', regexp_extract(t, 'ORS chapter [0-9]+') FROM p WHERE regexp_matches(t, 'ORS chapter ')"""
 )
 def citation_mentions(t):
+    """Ranges, groups of sections, subsections and chapters."""
     return extract.citation_mentions(provisions(t), "id", "t").select("id", "kind", "normalized")
 
 
 @query(
-    rf"""SELECT id, 'person' AS actor, 'obligation' AS modality, regexp_extract(t, 'within ([0-9]+) days', 1)::INT AS days, replace(regexp_extract(t, '\$[0-9]+'), '$', '')::DOUBLE AS amount,
-    '2021-01-' || lpad(regexp_extract(t, 'January ([0-9]+)', 1), 2, '0') AS effective, 'unless waived' AS condition, 'Deadline,Exception,Money,Notice,Obligation' AS types FROM {PROVISION}"""
+    rf"""WITH p AS (SELECT id, t, lower(t) AS l FROM {PROVISION})
+    SELECT id, CASE WHEN contains(l, 'landlord') THEN 'landlord' WHEN contains(l, 'tenant') THEN 'tenant' WHEN contains(l, 'applicant') THEN 'applicant' WHEN contains(l, 'department') THEN 'department' END AS actor,
+      nullif(lower(regexp_extract(t, '(?i)\b(shall|must|may|is required to|required to|may not)\s+[A-Za-z]', 1)), '') AS verb, CASE WHEN contains(l, 'unless ') THEN 'unless waived' WHEN contains(l, 'if ') THEN 'if the landlord may recover damages' END AS condition,
+      try_cast(replace(regexp_extract(t, '\$[0-9]+'), '$', '') AS DOUBLE) AS amount, CASE WHEN regexp_matches(l, 'january') THEN '2021-01-' || lpad(regexp_extract(t, 'January ([0-9]+)', 1), 2, '0') END AS date,
+      CASE WHEN regexp_matches(l, '\bmeans\b|^as used in') THEN regexp_extract(t, '"([^"]+)"', 1) END AS term, CASE WHEN contains(l, 'civil penalty') THEN 'civil' WHEN contains(l, 'misdemeanor') THEN 'criminal' END AS penalty,
+      CASE WHEN contains(l, 'tax') OR contains(l, 'assess') AND contains(l, 'assessment') THEN 'tax' END AS tax, CASE WHEN contains(l, 'form') THEN 'form_text' END AS form, CASE WHEN contains(l, 'may recover') THEN 'damages' END AS remedy,
+      array_to_string(list_sort([x FOR x IN [CASE WHEN regexp_matches(l, '\b(shall|must)\b') THEN 'Obligation' END, CASE WHEN contains(l, ' may ') THEN 'Permission' END, CASE WHEN contains(l, 'may not') THEN 'Prohibition' END, CASE WHEN regexp_matches(l, '\bmeans\b') OR l LIKE 'as used in%' THEN 'Definition' END,
+        CASE WHEN contains(l, 'unless') THEN 'Exception' END, CASE WHEN regexp_matches(l, 'within [0-9]|on or before') THEN 'Deadline' END, CASE WHEN regexp_matches(l, '\b(penalty|misdemeanor)\b') THEN 'Penalty' END, CASE WHEN contains(l, 'may recover') THEN 'Remedy' END,
+        CASE WHEN regexp_matches(t, '\$[0-9]') THEN 'MoneyAmount' END, CASE WHEN contains(l, 'tax') THEN 'TaxRule' END, CASE WHEN contains(l, 'notice') THEN 'RequiredNotice' END, CASE WHEN contains(l, 'form') THEN 'FormText' END, CASE WHEN regexp_matches(l, '\b(within|before|after)\s|on or before') THEN 'TimePeriod' END] IF x IS NOT NULL]), ',') AS types FROM p"""
 )
 def semantic_rows(t):
-    """Actor, modality, deadline, amount, date, condition and types of each provision."""
-    x = F.col("t")
-    return provisions(t).select(
-        "id", extract.actor(x).alias("actor"), extract.modality(x).alias("modality"), extract.deadline_days(x).alias("days"), text.money_value(F.get(extract.money_amounts(x), F.lit(0))).alias("amount"),
-        extract.iso_date(F.get(extract.long_dates(x), F.lit(0))).alias("effective"), extract.condition(x).alias("condition"), F.array_join(extract.semantic_types(x), ",").alias("types"),
-    )
+    """What each provision says: actor, verb, condition, amount, date, term, penalty, tax, form, remedy and types."""
+    rows = extract.semantic_rows(provisions(t), "id", "t")
+    date = extract.iso_date(F.get(extract.long_dates(F.col("t")), F.lit(0)))
+    told = rows.select("id", "actor", "verb", "condition", F.get("amounts", F.lit(0))["amount"].alias("amount"), "term", F.col("penalty.type").alias("penalty"), F.col("tax.type").alias("tax"), "form", "remedy", F.array_join("types", ",").alias("types"))
+    return told.join(provisions(t).select("id", date.alias("date")), "id")
 
 
 @query(
     r"""SELECT doc_id, 'sha256:' || sha256(text) AS hash, left(sha256(text), 16) AS id, ceil(length(text) / 5.2)::BIGINT AS n_tokens,
-    trim(regexp_replace(regexp_replace(lower(left(text, 40)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')) AS slug, CASE WHEN length(text) > 30 THEN left(text, 30) || '…' ELSE text END AS preview FROM documents"""
+    regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, CASE WHEN length(text) > 30 THEN left(text, 30) || '…' ELSE text END AS preview FROM documents"""
 )
 def text_identifiers(t):
     x = F.col("text")
-    return t("documents").select("doc_id", text.sha256_hex(x).alias("hash"), text.stable_id(x).alias("id"), text.estimate_tokens(x).alias("n_tokens"), text.slug(F.left(x, F.lit(40))).alias("slug"), text.preview(x, 30).alias("preview"))
+    return t("documents").select("doc_id", text.sha256_hex(x).alias("hash"), text.stable_id(x).alias("id"), text.estimate_tokens(x).alias("n_tokens"), text.slug(x).alias("slug"), text.preview(x, 30).alias("preview"))
 
 
 @query(

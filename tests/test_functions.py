@@ -37,10 +37,57 @@ def test_values(spark):
     assert one(spark, "A b! C", text.slug) == "a-b-c"
 
 
+def mentions(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    return [sorted((r["kind"], r["normalized"]) for r in extract.citation_mentions(df, "id", "t").where(F.col("id") == i).collect()) for i in range(len(texts))]
+
+
 def test_citations_take_places_once(spark):
-    df = spark.createDataFrame([(1, "See ORS 1.001 to 1.009 and ORS 2.020 (3)(a); ORS chapter 5."), (2, None)], "id int, t string")
-    got = {(r["kind"], r["normalized"]) for r in extract.citation_mentions(df, "id", "t").collect()}
-    assert got == {("section_range", "ORS 1.001 to 1.009"), ("subsection", "ORS 2.020(3)(a)"), ("chapter", "ORS chapter 5")}
+    got = mentions(
+        spark, "See ORS 1.001 to 1.003.", "See ORS 1.001 through 1.003, ORS 2.010(1)(a) and 2.020, and ORS chapters 3 to 5.", "ORS 316.1234. ors 2.020 and ORS 2.020", "ORS 90.100, 90.105 or 90.110 (2) (b)", "ORS 1.010 (1) to 1.020 (2); ORS chapter 5A", None, "nothing"
+    )
+    assert got == [
+        [("statute_range", "ORS 1.001 to 1.003")],
+        [("statute_chapter_range", "ORS chapters 3 to 5"), ("statute_range", "ORS 1.001 to 1.003"), ("statute_section", "ORS 2.020"), ("statute_subsection", "ORS 2.010(1)(a)")],
+        [("statute_section", "ORS 2.020"), ("statute_section", "ORS 316.1234")],
+        [("statute_section", "ORS 90.100"), ("statute_section", "ORS 90.105"), ("statute_subsection", "ORS 90.110(2)(b)")],
+        [("statute_chapter", "ORS chapter 5A"), ("statute_range", "ORS 1.010 to 1.020")], [], [],
+    ]
+    row = extract.citation_mentions(spark.createDataFrame([(7, "ORS 2.010 (1)(a)")], "id int, t string"), "id", "t").first()
+    key = hashlib.sha256(b"7::ORS 2.010 (1)(a)::ORS 2.010 (1)(a)").hexdigest()[:16]
+    assert (row["mention_id"], row["canonical_id"], row["pins"], row["confidence"], row["status"]) == (f"cite:{key}", "or:ors:2.010", ["1", "a"], 0.92, "parsed_unverified")
+
+
+def test_semantics(spark):
+    texts = {
+        "duty": "The landlord shall return the deposit within 31 days after termination, unless the tenant owes rent; other text.",
+        "tax": "The construction tax may not exceed 5 percent of the permit value, paid to the county treasurer into the Oregon School Fund. More.",
+        "crime": "A person who violates ORS 90.300 commits a Class a misdemeanor, punishable by county jail for not more than 30 days, and the license may be suspended.",
+        "civil": "The director may impose a civil penalty not to exceed $1,250.50.",
+        "means": 'As used in ORS 90.100 to 90.465, "dwelling unit" means a structure.',
+        "plain": "Premises includes a yard.",
+        "notice": "The tenant must give actual notice to the landlord in substantially the following form: ______",
+        "remedy": "The tenant may recover damages or bring an action.",
+        "blank": "  ",
+    }
+    rows = {r["id"]: r for r in extract.semantic_rows(spark.createDataFrame(list(texts.items()), "id string, t string"), "id", "t").collect()}
+    assert "blank" not in rows
+    duty = rows["duty"]
+    assert (duty["actor"], duty["actor_kind"], duty["verb"], duty["object"], duty["condition"]) == ("landlord", "role", "shall", "return the deposit within 31 days after termination, unless the tenant owes rent", "unless the tenant owes rent")
+    assert (duty["duration"], duty["trigger"]) == ("within 31 days after termination, unless the tenant owes rent", "after termination, unless the tenant owes rent")
+    assert duty["types"] == ["Deadline", "Exception", "Obligation", "TimePeriod"]
+    tax = rows["tax"]
+    assert (tax["tax"]["type"], tax["tax"]["rate"], tax["tax"]["base"], tax["tax"]["recipient"], tax["limit"]["type"], tax["limit"]["percent"]) == ("construction", "5 percent", "the permit value, paid to the county treasurer into the Oregon School Fund", "the county treasurer into the Oregon School Fund", "tax_rate_limit", 5.0)
+    assert tax["tax"]["cap"].startswith("The construction tax") and tax["tax"]["cap"].endswith("Fund")
+    crime = rows["crime"]["penalty"]
+    assert (crime["type"], crime["class"], crime["jail"], crime["citation"], crime["suspension"], crime["revocation"]) == ("criminal", "Class a misdemeanor", "county jail for not more than 30 days", "ORS 90.300", True, None)
+    civil = rows["civil"]["penalty"]
+    assert (civil["type"], civil["amount"], civil["maximum"], civil["civil"]) == ("civil", "$1,250.50", "$1,250.50", "$1,250.50")
+    assert [(a["type"], a["amount"]) for a in rows["civil"]["amounts"]] == [("currency", 1250.5)]
+    assert (rows["means"]["term"], rows["means"]["scope"], tuple(rows["means"]["scope_range"])) == ("dwelling unit", "range", ("or:ors:90.100", "or:ors:90.465"))
+    assert rows["plain"]["scope"] == "section" and rows["plain"]["term"] is None
+    assert (rows["notice"]["notice"]["type"], rows["notice"]["notice"]["sender"], rows["notice"]["form"]) == ("actual_notice", "landlord", "notice_template")
+    assert rows["remedy"]["remedy"] == "damages"
 
 
 def test_chunks_keep_every_word_and_stay_small(spark):
