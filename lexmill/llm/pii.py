@@ -3,8 +3,9 @@
 Base spans come from fixed patterns and checks. Wider patterns give further candidates. Labelers vote on every candidate: a regex
 labeler (does the strict form hold), a gazetteer labeler (known domains, issuers, prefixes and address ranges), a context labeler (words
 before the span) and a shape labeler (grouping). Votes are counted by pattern over all texts - a bounded table - from which
-expectation-maximisation estimates each labeler's reliability; a span classifier is then trained on the resulting probabilities and
-decides which candidates are added. Base spans always stay.
+expectation-maximisation estimates each labeler's reliability; a span classifier is then trained on the resulting probabilities, with
+features of its own that no labeler looks at (the span's length, its digits, the characters beside it), and decides which
+candidates are added. Base spans always stay. Arrays of spans are handled in blocks, so long texts cost little more than in proportion.
 """
 
 from __future__ import annotations
@@ -54,6 +55,12 @@ SHAPE = {
     "phone": (r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}$|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$", r"[ .()-]{3}"),
 }
 VOTERS = ("regex", "gazetteer", "context", "shape")
+#: The classifier's own features and how many values each has.
+FEATURES = {"size": 5, "digits": 4, "left": 4, "right": 4}
+SPAN = "struct<kind:int,start:int,end:int,base:boolean," + ",".join(f"{x}:int" for x in (*VOTERS, *FEATURES)) + ">"
+PLACE = "struct<start:int,end:int,kind:int>"
+#: Elements of an array that are handled together, and code points of a text that are rewritten at a time.
+BLOCK, PIECE = 64, 2048
 #: A candidate is added at this probability.
 THRESHOLD = 0.9
 
@@ -91,37 +98,86 @@ def vote(value: Column, patterns: tuple[str, str]) -> Column:
     return F.when(F.regexp_like(value, F.lit(patterns[1])), -1).when(F.regexp_like(value, F.lit(patterns[0])), 1).otherwise(0)
 
 
+def let(value: Column, use) -> Column:
+    """use(value), where the value is worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def later(x: Column, y: Column) -> Column:
+    return F.greatest(x, y)
+
+
+def running(values: Column, add) -> Column:
+    """What add (of two numbers, from 0 on) makes of all numbers before each one of an array: by blocks, so no step goes back to the start."""
+
+    def blocked(v):
+        blocks = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int"))
+        total = lambda part, start: F.aggregate(part, start, add)
+        own = lambda c: F.slice(v, c * BLOCK + 1, F.lit(BLOCK))
+
+        def inside(c, sums):
+            return let(total(F.slice(sums, F.lit(1), c), F.lit(0)), lambda h: let(own(c), lambda part: F.transform(part, lambda _, i: total(F.slice(part, F.lit(1), i), h))))
+
+        return let(F.transform(blocks, lambda c: total(own(c), F.lit(0))), lambda sums: F.flatten(F.transform(blocks, lambda c: inside(c, sums))))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, blocked(v)).otherwise(F.array().cast("array<int>")))
+
+
+def blocks_of(places: Column) -> Column:
+    """An array of (start, ...) by start, in blocks of about the root of its size: (lo, hi, part)."""
+
+    def cut(v):
+        width = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(v)))).cast("int")
+        part = lambda c: F.slice(v, c * width + 1, width)
+        ends = lambda p: F.array_max(F.transform(p, lambda x: x["end"]))
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int")), lambda c: let(part(c), lambda p: F.struct(F.get(p, F.lit(0))["start"].alias("lo"), ends(p).alias("hi"), p.alias("part"))))
+
+    return let(places, lambda v: F.when(F.size(v) > 0, cut(v)).otherwise(F.array().cast(f"array<struct<lo:int,hi:int,part:array<{PLACE}>>>")))
+
+
+def place(s: Column) -> Column:
+    return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
+
+
+def apart(places: Column) -> Column:
+    """Of places by start, those that begin where all before have ended; of a chain of overlapping ones only the first stays."""
+    return let(places, lambda v: let(running(F.transform(v, lambda x: x["end"]), later), lambda upto: F.filter(v, lambda x, i: x["start"] >= F.get(upto, i))))
+
+
+def character(c: Column) -> Column:
+    """The class of a character: 0 none or white space, 1 letter, 2 digit, 3 other."""
+    return F.when((c == "") | F.regexp_like(c, F.lit(r"\s")), 0).when(F.regexp_like(c, F.lit(r"\p{L}")), 1).when(F.regexp_like(c, F.lit("[0-9]")), 2).otherwise(3)
+
+
 def spans(text: Column, kind: str, pattern: str, needed: Column, keep) -> Column:
-    """Matches of a pattern as an array of (kind number, start, end, base and the labelers' votes), in code points.
+    """Matches of a pattern as an array of (kind number, start, end, base, the labelers' votes and the classifier's features), in code points.
 
     What lies between matches and the matches themselves give the places. keep: a condition on a match.
     """
     k = KINDS.index(kind)
-    empty = "array<struct<kind:int,start:int,end:int,base:boolean,regex:int,gazetteer:int,context:int,shape:int>>"
-    matches = F.when(needed, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), matches.alias("match"))
     strict = pattern == BASE[kind]
 
-    def add(acc, x):
-        gap, match = x["gap"], x["match"]
-        start = acc["upto"] + F.length(gap)
-        before = F.substring(gap, -CONTEXT, CONTEXT)
+    def span(gaps, matches, starts, match, i):
+        gap = F.get(gaps, i)
+        start = F.get(starts, i) + F.length(gap)
+        lead = F.when(i > 0, F.concat(F.get(gaps, F.greatest(i - 1, F.lit(0))), F.get(matches, F.greatest(i - 1, F.lit(0))))).otherwise("")
+        before = F.right(F.concat(F.right(lead, F.lit(CONTEXT)), F.right(gap, F.lit(CONTEXT))), F.lit(CONTEXT))
         good = passes(kind, match) if strict else F.lit(False)
-        span = F.struct(
-            F.lit(k).alias("kind"),
-            start.alias("start"),
-            (start + F.length(match)).alias("end"),
-            good.alias("base"),
-            (F.when(good, 1).otherwise(-1 if strict else 0)).alias("regex"),
-            vote(match, GAZETTEER[kind]).alias("gazetteer"),
-            vote(before, CUES[kind]).alias("context"),
-            vote(match, SHAPE[kind]).alias("shape"),
-        )
-        found = F.when(match.isNotNull() & keep(match), F.concat(acc["found"], F.array(span))).otherwise(acc["found"])
-        return F.struct((start + F.coalesce(F.length(match), F.lit(0))).alias("upto"), found.alias("found"))
-
-    folded = F.aggregate(both, F.struct(F.lit(0).alias("upto"), F.array().cast(empty).alias("found")), add, lambda acc: acc["found"])
-    return F.when(F.size(matches) > 0, folded).otherwise(F.array().cast(empty))
+        size, numbers = F.length(match), F.length(digits(match))
+        fields = {
+            "kind": F.lit(k), "start": start, "end": start + size, "base": good, "regex": F.when(good, 1).otherwise(-1 if strict else 0), "gazetteer": vote(match, GAZETTEER[kind]), "context": vote(before, CUES[kind]), "shape": vote(match, SHAPE[kind]),
+            "size": F.when(size < 8, 0).when(size < 12, 1).when(size < 16, 2).when(size < 24, 3).otherwise(4), "digits": F.when(numbers == 0, 0).when(numbers < 9, 1).when(numbers < 13, 2).otherwise(3),
+            "left": character(F.right(before, F.lit(1))), "right": character(F.left(F.get(gaps, i + 1), F.lit(1))),
+        }
+        return F.struct(*[v.alias(name) for name, v in fields.items()])
+
+    def found(matches):
+        gaps = F.split(text, pattern, -1)
+        steps = lambda g: F.transform(g, lambda x, i: F.length(x) + F.coalesce(F.length(F.get(matches, i)), F.lit(0)))
+        each = let(gaps, lambda g: let(running(steps(g), lambda x, y: x + y), lambda starts: F.filter(F.transform(matches, lambda m, i: F.when(keep(m), span(g, matches, starts, m, i))), lambda x: x.isNotNull())))
+        return F.when(F.size(matches) > 0, each).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+    return let(F.when(needed, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), found)
 
 
 def all_spans(text: Column, has_digit: Column) -> Column:
@@ -150,8 +206,9 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def vote_counts(found: DataFrame) -> list[dict]:
-    """How often each kind has each pattern of votes: at most 4 * 3 ** 4 rows."""
-    rows = found.select(F.explode("found").alias("s")).select("s.*").groupBy("kind", *VOTERS).agg(F.count("*").alias("n")).orderBy("kind", *VOTERS)
+    """How often each kind has each pattern of votes and features: a bounded number of rows, 4 * 3 ** 4 * 5 * 4 ** 3 if all occurred."""
+    by = ["kind", *VOTERS, *FEATURES]
+    rows = found.select(F.explode("found").alias("s")).select("s.*").groupBy(*by).agg(F.count("*").alias("n")).orderBy(*by)
     return [r.asDict() for r in rows.collect()]
 
 
@@ -184,10 +241,10 @@ def estimate(counts: list[dict], rounds: int = 50) -> list[float]:
 
 
 def train(counts: list[dict], targets: list[float], rounds: int = 500, rate: float = 0.5) -> dict[tuple, float]:
-    """A logistic span classifier on the votes of each kind, fitted to the estimated probabilities: one weight for each (kind, labeler, vote)."""
+    """A logistic span classifier of each kind, fitted to the estimated probabilities: one weight for each (kind, labeler, vote) and (kind, feature, value)."""
     weights: dict[tuple, float] = {}
     total = sum(r["n"] for r in counts) or 1
-    features = [[(r["kind"], "any", 0), *((r["kind"], v, r[v]) for v in VOTERS)] for r in counts]
+    features = [[(r["kind"], "any", 0), *((r["kind"], v, r[v]) for v in (*VOTERS, *FEATURES))] for r in counts]
     # rare kinds must be learned too: a pattern's weight grows with the root of its count
     share = [(r["n"] / total) ** 0.5 for r in counts]
     for _ in range(rounds):
@@ -206,8 +263,8 @@ def probability(span: Column, weights: dict[tuple, float]) -> Column:
     z = F.lit(0.0)
     for k in range(len(KINDS)):
         own = F.lit(weights.get((k, "any", 0), 0.0))
-        for v in VOTERS:
-            for value in (-1, 0, 1):
+        for v, values in {**dict.fromkeys(VOTERS, (-1, 0, 1)), **{f: range(n) for f, n in FEATURES.items()}}.items():
+            for value in values:
                 if (w := weights.get((k, v, value), 0.0)) != 0:
                     own = own + F.when(span[v] == value, w).otherwise(0.0)
         z = z + F.when(span["kind"] == k, own).otherwise(0.0)
@@ -221,13 +278,16 @@ def learn(found: DataFrame) -> dict[tuple, float]:
 
 
 def with_decided(df: DataFrame, found: str, weights: dict[tuple, float]) -> DataFrame:
-    """df with __base and __all: arrays of spans (kind number, start, end), by kind and start. Added spans never overlap base ones."""
-    place = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
+    """df with __base and __all: arrays of spans (kind number, start, end), by kind and start. Added spans never overlap base ones or one another; of a chain of overlapping ones the first is added."""
+    none = F.array().cast(f"array<{PLACE}>")
     base = F.array_sort(F.transform(F.filter(found, lambda s: s["base"]), place))
-    split = df.withColumns({"__base": base, "__rest": F.filter(found, lambda s: ~s["base"])})
-    clear = lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    added = F.when(F.size("__rest") > 0, F.transform(F.filter("__rest", lambda s: (probability(s, weights) >= THRESHOLD) & clear(s)), place)).otherwise(F.array().cast("array<struct<kind:int,start:int,end:int>>"))
-    return split.withColumn("__all", F.array_sort(F.concat("__base", added)))
+    likely = F.filter(found, lambda s: ~s["base"] & (probability(s, weights) >= THRESHOLD))
+    split = df.withColumns({"__base": base, "__rest": F.when(F.exists(found, lambda s: ~s["base"]), F.array_sort(F.transform(likely, place))).otherwise(none)})
+    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    clear = lambda blocks, s: ~F.exists(blocks, lambda b: (b["lo"] < s["end"]) & (s["start"] < b["hi"]) & F.exists(b["part"], lambda x: meets(x, s)))
+    added = F.when(F.size("__rest") > 0, apart(let(blocks_of(F.col("__base")), lambda blocks: F.filter("__rest", lambda s: clear(blocks, s))))).otherwise(none)
+    by_kind = lambda a: F.array_sort(F.transform(a, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
+    return split.withColumn("__all", by_kind(F.concat("__base", added))).withColumn("__base", by_kind(F.col("__base")))
 
 
 def decide(found: DataFrame) -> DataFrame:
@@ -256,20 +316,41 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return decided.select("doc_id", *counts, F.sha2(described("base"), 256).alias("base_sha256"), described("all").alias("spans"))
 
 
+def merged(array: Column) -> Column:
+    """Spans by start, overlapping ones made one, of the earliest's kind."""
+    by_start = F.array_sort(F.transform(array, place))
+
+    def joined(v):
+        ends = F.transform(v, lambda x: x["end"])
+
+        def heads(upto):
+            begun = F.filter(F.transform(v, lambda x, i: F.struct(x["start"].alias("start"), F.get(upto, i).alias("before"), x["kind"].alias("kind"))), lambda h: h["start"] >= h["before"])
+            return let(begun, lambda h: F.transform(h, lambda x, i: F.struct(x["start"].alias("start"), F.coalesce(F.get(h, i + 1)["before"], F.array_max(ends)).alias("end"), x["kind"].alias("kind"))))
+
+        return let(running(ends, later), heads)
+
+    return let(by_start, joined)
+
+
 def redacted(text: Column, array: Column) -> Column:
-    """The text with each of its spans (kind, start, end) replaced by its kind in brackets; overlapping ones become one, of the earlier's kind."""
+    """The text with each of its spans (kind, start, end) replaced by its kind in brackets; overlapping ones become one, of the earlier's kind. The text is rewritten piece by piece."""
     labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    by_start = F.array_sort(F.transform(array, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
-    def add(acc, s):
-        apart = s["start"] >= acc["upto"]
-        piece = F.when(apart, F.concat(F.substring(text, acc["upto"] + 1, s["start"] - acc["upto"]), F.get(labels, s["kind"]))).otherwise("")
-        return F.struct(F.greatest(acc["upto"], s["end"]).alias("upto"), F.concat(acc["pieces"], F.array(piece)).alias("pieces"))
+    def rewritten(t, lo, own):
+        def add(acc, s):
+            start = F.greatest(s["start"] - lo, acc["upto"])
+            label = F.when(s["start"] >= lo, F.get(labels, s["kind"])).otherwise("")
+            return F.struct(F.least(s["end"] - lo, F.lit(PIECE)).alias("upto"), F.concat(acc["parts"], F.array(F.substring(t, acc["upto"] + 1, start - acc["upto"]), label)).alias("parts"))
+
+        begin = F.struct(F.lit(0).alias("upto"), F.array().cast("array<string>").alias("parts"))
+        return F.aggregate(own, begin, add, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(t, acc["upto"] + 1, F.lit(PIECE))))
 
-    def whole(acc):
-        return F.concat(F.array_join(acc["pieces"], ""), F.substring(text, acc["upto"] + 1, F.length(text)))
+    def inside(blocks, lo):
+        touches = lambda a, b: (a < lo + PIECE) & (b > lo)
+        return F.flatten(F.transform(F.filter(blocks, lambda b: touches(b["lo"], b["hi"])), lambda b: F.filter(b["part"], lambda s: touches(s["start"], s["end"]))))
 
-    return F.aggregate(by_start, F.struct(F.lit(0).alias("upto"), F.array().cast("array<string>").alias("pieces")), add, whole)
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return let(blocks_of(merged(array)), lambda blocks: F.array_join(F.transform(pieces, lambda t, i: rewritten(t, i * PIECE, inside(blocks, i * PIECE))), ""))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
