@@ -65,8 +65,9 @@ def edges_sql(found: list[schema.Rule]) -> str:
 
 
 def loaded(t, kinds):
-    """Nodes of kinds and of all that they refer to. Targets that are required in turn are taken as they come."""
-    tables = {k: rows_of(t, k) for k in schema.KINDS}
+    """Nodes of kinds, and rows of all that they refer to. Targets that are required in turn are taken as they come."""
+    needed = {*kinds, *(r.target for k in kinds for r in schema.BY_KIND[k])}
+    tables = {k: rows_of(t, k) for k in needed}
     return {k: schema.load(k, tables[k], F.col("seq"), tables) for k in kinds}, tables
 
 
