@@ -13,6 +13,7 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every text for toxicity; learns from labels of three quarters of the ids."""
     docs = read(spark, sf_dir, "documents")
     model = toxicity.train(docs, read(spark, sf_dir, "labels"), remainder(4) != 2)
     scored = toxicity.score(docs, model)
@@ -20,20 +21,24 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes every page to an archive and reads the rebuilt records back."""
     path = warc.archive_path(shared_dir(spark))
     warc.write_archive(read(spark, sf_dir, "pages"), path, dedup_bytes=1000)
     return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text."""
     return pii.find(read(spark, sf_dir, "documents"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every text."""
     return bpe.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=1024)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every text for quality; learns from labels of four fifths of the ids."""
     docs = read(spark, sf_dir, "documents")
     model = quality_mil.train(docs, read(spark, sf_dir, "labels"), remainder(5) != 0)
     scored = quality_mil.score(docs, model)
@@ -41,29 +46,65 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return html_extract.extract(read(spark, sf_dir, "pages"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and a verdict for every text."""
     docs = read(spark, sf_dir, "documents")
     return quality_rules.apply_rules(docs, quality_rules.train(docs, read(spark, sf_dir, "labels")))
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and the groups that they link."""
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every text shares with the benchmark."""
     return decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's token pieces and their places in sequences."""
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc_archive, op3_pii_weak_supervision, op4_token_counts, op5_quality_classifier, op6_html_extraction, op7_quality_rules, op8_simhash_near_dedup, op9_benchmark_decontamination, op10_best_fit_packing)}
+def quality_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op7_quality_rules that SQL can state, without the model's verdict."""
+    return op7_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def personal_data_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of op3_pii_weak_supervision, without the places."""
+    return op3_pii_weak_supervision(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+QUERIES = {f.__name__: f for f in (quality_rule_counts, personal_data_counts, op1_toxicity, op2_warc_archive, op3_pii_weak_supervision, op4_token_counts, op5_quality_classifier, op6_html_extraction, op7_quality_rules, op8_simhash_near_dedup, op9_benchmark_decontamination, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {
+    "quality_rule_counts": r"""
+        WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        win AS (SELECT doc_id, s, w[s : s + 7] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS s FROM w WHERE len(w) >= 8)),
+        rep AS (SELECT doc_id, s FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS n FROM win) WHERE n > 1),
+        pos AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(s, s + 8)) AS p FROM rep) GROUP BY doc_id),
+        c AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+              [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines, coalesce(n, 0) AS n_repeat_words FROM w LEFT JOIN pos USING (doc_id))
+        SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+               n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c
+    """,
+    "personal_data_counts": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        i AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(t, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+')) AS m FROM d)
+              WHERE list_max([coalesce(try_cast(p AS HUGEINT), 999) FOR p IN string_split(m, '.')]) <= 255 GROUP BY doc_id),
+        n AS (SELECT doc_id, reverse(regexp_replace(m, '[^0-9]', '', 'g')) AS r FROM (SELECT doc_id, unnest(regexp_extract_all(t, '[0-9](?:[\x20-]?[0-9])+')) AS m FROM d)),
+        c AS (SELECT doc_id, count(*) AS n FROM n WHERE length(r) BETWEEN 13 AND 19
+              AND list_sum([CASE WHEN k % 2 = 1 THEN substring(r, k + 1, 1)::INT * 2 // 10 + substring(r, k + 1, 1)::INT * 2 % 10 ELSE substring(r, k + 1, 1)::INT END FOR k IN range(length(r))]) % 10 = 0 GROUP BY doc_id),
+        p AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]')) AS m FROM d) WHERE length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 9 AND 15 GROUP BY doc_id)
+        SELECT d.doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'))::BIGINT AS n_email, coalesce(i.n, 0)::BIGINT AS n_ip, coalesce(c.n, 0)::BIGINT AS n_card, coalesce(p.n, 0)::BIGINT AS n_phone
+        FROM d LEFT JOIN i USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN p USING (doc_id)
+    """,
     "op9_benchmark_decontamination": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
