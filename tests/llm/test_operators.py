@@ -486,3 +486,30 @@ def test_long_texts_are_scored_in_slices():
         assert quality_mil.scores([b"", text, b"a"], model).shape == (3,)
     finally:
         quality_mil.SLICE = slice_
+
+
+def test_pii_adds_what_the_labelers_agree_on(spark):
+    """Obfuscated forms beside a cue are added at their places, also after another match; numbers that only look like personal data are not; base and added spans never overlap."""
+    wide = {"email": "contact: bob.ray (at) example (dot) com", "ip": "server address 2001:0db8:0000:0000:0000:ff00:0042:8329", "card": "visa card 4111.1111.1111.1111", "phone": "call 415-555-2671"}
+    values = {k: v.split(" ", {"email": 1, "ip": 2, "card": 2, "phone": 1}[k])[-1] for k, v in wide.items()}
+    rows = [(10 * i + k, f"item {i}, {x} and more text") for i in range(40) for k, x in enumerate(wide.values())]
+    rows += [(1000 + i, f"order serial 123456789012345{i % 10} version 1.2.3.{300 + i}") for i in range(80)]
+    rows += [(2000, "call 415-555-2671 or 415-555-2672, mail a@b.cc")]
+    got = {r["doc_id"]: r for r in pii.find(table(spark, rows)).collect()}
+    for i in range(40):
+        for k, (kind, value) in enumerate(values.items()):
+            start = rows[4 * i + k][1].index(value)
+            assert f"{kind}:{start}:{start + len(value)}" in got[10 * i + k]["spans"].split(","), (kind, got[10 * i + k])
+    luhn = {i for i in range(80) if pii_ok("card", f"123456789012345{i % 10}")}
+    assert all((got[1000 + i]["spans"] == "") == (i not in luhn) for i in range(80))
+    assert [x.split(":")[0] for x in got[2000]["spans"].split(",")] == ["email", "phone", "phone"]
+
+
+def test_pii_long_texts(spark):
+    """20,000 addresses in one text are found and replaced; what lies across the pieces in which it is rewritten, too."""
+    text = " ".join(f"a{i}@b{i}.com 😀" for i in range(20_000))
+    one = table(spark, [(1, text)])
+    assert pii.find(one).first()["n_email"] == 20_000
+    assert pii.redact(one).first()["text"] == " ".join(["[EMAIL] 😀"] * 20_000)
+    long = table(spark, [(1, "x" * 2_040 + " " + "y" * 5_000 + "@b.cc end")])
+    assert pii.redact(long).first()["text"] == "x" * 2_040 + " [EMAIL] end"

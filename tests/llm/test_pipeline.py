@@ -31,6 +31,31 @@ def test_personal_data_is_masked(spark):
     assert got == {1: ("mail [EMAIL] now", 16), 2: (None, None)}
 
 
+def test_stages_take_empty_tables_and_further_columns(spark, tmp_path):
+    """Each stage gives an empty table for an empty one, and keeps columns whose names its operators use, too."""
+    spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    some = docs(spark, [(1, "one text stands here, unlike any other"), (2, None), (3, "and another one")]).selectExpr("*", "'k' as key", "1 as h", "2 as n", "'t' as term", "0.5 as score", "'b' as block")
+    for _, stage in pipeline.STAGES:
+        none = stage(spark, some.limit(0), str(tmp_path))
+        assert none.count() == 0
+        out = stage(spark, some, str(tmp_path))
+        if stage is not pipeline.packed:
+            assert out.columns == some.columns and out.count() <= 3
+            assert none.columns == some.columns
+        else:
+            assert sorted(r["doc_id"] for r in out.collect()) == [1, 2, 3]
+
+
+def test_quality_stage_keeps_what_the_query_accepts(spark):
+    """The stage keeps just the rows whose score by the operator is 0.3 or more."""
+    sf = "/root/testdata/sf0.001"
+    first = spark.read.parquet(f"{sf}/documents.parquet")
+    model = pipeline.quality_mil.train(first, spark.read.parquet(f"{sf}/labels.parquet"), pipeline.remainder(5) != 0)
+    want = {r["doc_id"] for r in pipeline.quality_mil.score(first, model).where("score >= 0.3").collect()}
+    assert {r["doc_id"] for r in pipeline.good_quality(spark, first, sf).collect()} == want
+
+
 def test_whole_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     first = spark.read.parquet(f"{sf}/documents.parquet")
