@@ -9,6 +9,8 @@ from __future__ import annotations
 import heapq
 import json
 import struct
+import sys
+from array import array
 from functools import lru_cache
 
 import regex
@@ -19,8 +21,8 @@ from lexmill.llm.common import in_slices, two_columns
 
 #: Fixed value: the published pattern of byte-level BPE pre-tokenization.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Bytes that each of a worker's tables of words and pieces may take, and what an entry takes besides its text; a table is emptied when it is full. Longer texts are not remembered.
-REMEMBERED, ENTRY, LONGEST = 24_000_000, 200, 200
+#: Words and pieces, of at most LONGEST characters, that each of a worker's tables and its older one hold; an entry takes about 120 bytes, so that all take 150 MB at most.
+REMEMBERED, LONGEST = 200_000, 64
 
 
 def byte_symbols() -> list[str]:
@@ -73,20 +75,23 @@ def merges_of(data: bytes, ranks: dict[int, int]) -> int:
 
 
 class Remembered(dict):
-    """The value of make(key), made when first asked for and kept while there is room."""
+    """The value of make(key), made when first asked for. When the table is full it becomes the older one, from which keys that are asked for again come back."""
 
     def __init__(self, make):
         super().__init__()
-        self.make, self.size = make, 0
+        self.make, self.size, self.older = make, 0, {}
 
     def __missing__(self, key: str):
-        value = self.make(key)
-        if len(key) <= LONGEST:
-            if self.size >= REMEMBERED:
-                self.clear()
-                self.size = 0
-            self[key] = value
-            self.size += ENTRY + 2 * len(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > LONGEST:
+                return value
+        self[key] = value
+        self.size += 1
+        if self.size >= REMEMBERED:
+            self.older, self.size = dict(self), 0
+            self.clear()
         return value
 
 
@@ -183,8 +188,10 @@ def encoder(path: str):
     one = tiktoken.Encoding("piece", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def ids(piece: str) -> bytes:
-        found = one(piece)
-        return struct.pack(f"<{len(found)}I", *found)
+        found = array("I", one(piece))
+        if sys.byteorder == "big":
+            found.byteswap()
+        return found.tobytes()
 
     return Pieces(path, ids, b"".join, lambda i: struct.pack("<I", i)).of
 

@@ -186,15 +186,15 @@ def plan_packing(counts: dict[int, int], capacity: int, groups: tuple[int, ...]
     group, groups being equal in number; a linear programme finds how often each configuration of rounded sizes is used so that they need the
     fewest sequences; actual pieces are put in their places, which leaves some more space; and what the whole numbers leave over and the
     small pieces, from the longest, go to the sequence with the least sufficient space. Few groups waste space and many leave
-    more over, so each of the given numbers of groups is planned (those with over MOST_WAYS configurations are not) until one needs no
-    more sequences than all tokens do, and the plan with the fewest is taken.
+    more over, so each of the given numbers of groups is planned (those with over MOST_WAYS configurations are not) until one is
+    within a five-thousandth of what all tokens need, and the plan with the fewest sequences is taken.
     """
     least = -(-sum(x * n for x, n in counts.items()) // capacity)
     best = None
     for number in groups:
         plan = grouped_plan(counts, capacity, number)
         best = plan if plan and (best is None or plan[0] < best[0]) else best
-        if best and best[0] <= least:
+        if best and best[0] <= least + least // 5000:
             break
     return best[1] if best else []
 
