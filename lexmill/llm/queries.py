@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, decontamination, html_extract, packing, pii, quality_mil, quality_rules, simhash, toxicity, warc
+from lexmill.llm import bpe, collocations, decontamination, divergence, html_extract, packing, pii, quality_mil, quality_rules, simhash, speculate, toxicity, warc
 from lexmill.llm.common import read, remainder, shared_dir
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -71,6 +71,26 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), capacity=2048)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of the sources of each language, and each source's own terms."""
+    return divergence.audit(read(spark, sf_dir, "documents"), min_docs=30, top=50).select("lang", "source", "part", "item", "value", "rank")
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's phrases of two and three words that stand together most."""
+    return collocations.mine(read(spark, sf_dir, "documents"), min_count=10, max_words=3, inside_percent=50, top=2000)
+
+
+def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's token ids and what they decode to, as digests."""
+    return speculate.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def decoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can state of op13_bpe_round_trip: the decoded text is the text."""
+    return op13_bpe_round_trip(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
 def quality_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts of op7_quality_rules that SQL can state, without the model's verdict."""
     return op7_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -81,9 +101,48 @@ def personal_data_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_pii_weak_supervision(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
 
 
-QUERIES = {f.__name__: f for f in (quality_rule_counts, personal_data_counts, op1_toxicity, op2_warc_archive, op3_pii_weak_supervision, op4_token_counts, op5_quality_classifier, op6_html_extraction, op7_quality_rules, op8_simhash_near_dedup, op9_benchmark_decontamination, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (quality_rule_counts, personal_data_counts, decoded_texts, op1_toxicity, op2_warc_archive, op3_pii_weak_supervision, op4_token_counts, op5_quality_classifier, op6_html_extraction, op7_quality_rules, op8_simhash_near_dedup, op9_benchmark_decontamination, op10_best_fit_packing, op11_source_divergence, op12_phrase_collocations, op13_bpe_round_trip)}
+
+DIVERGENCE = r"""
+    WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    t AS (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+    kept AS (SELECT lang, term, sum(n)::HUGEINT AS lang_n FROM t GROUP BY ALL HAVING count(*) >= {min_docs}),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    c AS (SELECT g.lang, g.source, kept.term, lang_n, coalesce(sum(t.n), 0)::HUGEINT AS n
+          FROM g JOIN kept ON kept.lang = g.lang LEFT JOIN t ON t.lang = g.lang AND t.source = g.source AND t.term = kept.term GROUP BY ALL),
+    s AS (SELECT *, sum(n) OVER (PARTITION BY lang, source)::HUGEINT AS total, sum(lang_n) OVER (PARTITION BY lang, source)::HUGEINT AS lang_total, count(*) OVER (PARTITION BY lang, source) AS v FROM c),
+    f AS (SELECT lang, source, term, n, 1 + 1000000000 * (n + 5) // (total + 5 * v) AS p, 1 + 1000000000 * (lang_n + 5) // (lang_total + 5 * v) AS q FROM s),
+    pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(fa.p - fb.p)), 0)::BIGINT AS value
+             FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source
+             LEFT JOIN f AS fa ON fa.lang = a.lang AND fa.source = a.source LEFT JOIN f AS fb ON fb.lang = b.lang AND fb.source = b.source AND fb.term = fa.term GROUP BY ALL),
+    term AS (SELECT lang, source, term AS item, (p - q)::BIGINT AS value FROM f WHERE n > 0 AND p > q)
+    SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM pair
+    UNION ALL
+    SELECT * FROM (SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM term) WHERE rank <= {top}
+"""
+
+COLLOCATIONS = r"""
+    WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+    g AS (SELECT lang, k, array_to_string(w[s : s + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, greatest(len(w) - k + 2, 1))) AS s FROM p, (SELECT unnest([1, 2, 3]) AS k))),
+    f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS a FROM g GROUP BY ALL HAVING count(*) >= {least}),
+    n AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang),
+    c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+    sub AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM c WHERE k = 3),
+    gone AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN sub ON c.lang = sub.lang AND c.phrase = sub.phrase WHERE 100 * sub.a >= 50 * c.a),
+    cuts AS (SELECT lang, phrase, a, w, k, unnest(range(1, k)) AS cut FROM c ANTI JOIN gone USING (lang, phrase)),
+    s AS (SELECT cuts.lang, cuts.phrase, cuts.a, x.a AS l, y.a AS r, cut, 1000000 * cuts.a * cuts.a // (x.a * y.a) AS score
+          FROM cuts JOIN f AS x ON x.lang = cuts.lang AND x.phrase = array_to_string(w[1:cut], ' ') JOIN f AS y ON y.lang = cuts.lang AND y.phrase = array_to_string(w[cut + 1 : cuts.k], ' ')),
+    low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+    top AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM low)
+    SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM top JOIN n USING (lang) WHERE rank <= {top}
+"""
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_source_divergence": DIVERGENCE.format(min_docs=30, top=50),
+    "op12_phrase_collocations": COLLOCATIONS.format(least=10, top=2000),
+    "decoded_texts": "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents",
     "quality_rule_counts": r"""
         WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         win AS (SELECT doc_id, s, w[s : s + 7] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS s FROM w WHERE len(w) >= 8)),
