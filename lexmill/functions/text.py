@@ -53,6 +53,27 @@ def without_rule_marks(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(normalize_ws(text), r"^_{5,}\s*", ""), r"\s*_{5,}$", ""))
 
 
+#: How a line names titles or chapters that are kept free, as a regular expression.
+RESERVED = r"(?:titles?|chapters?)\s+[0-9]+[a-z]?(?:\s+(?:to|and)\s+[0-9]+[a-z]?)?(?:\s+et\s+seq\.)?"
+
+
+def is_reserved_tail(text: Column) -> Column:
+    """A line that only names free titles or chapters, with or without the words that say so."""
+    return F.regexp_like(normalize_ws(text), F.lit(rf"(?i)^{RESERVED}(?:\s+\[reserved for expansion\]_*)?$"))
+
+
+def is_reserved_expansion(text: Column) -> Column:
+    return F.lower(normalize_ws(text)) == "[reserved for expansion]"
+
+
+def clean_parser_text(text: Column) -> Column:
+    """Normal text without underscore rules and without a free range of chapters at its end; empty if it is nothing else."""
+    bare = without_rule_marks(text)
+    return F.when(F.regexp_like(normalize_ws(text), F.lit(rf"(?i)^{RESERVED}\s+\[reserved for expansion\]_*$")), "").otherwise(
+        F.trim(F.regexp_replace(bare, rf"(?i)\s+{RESERVED}\s+\[reserved for expansion\]_*\s*$", ""))
+    )
+
+
 def is_all_caps_heading(text: Column) -> Column:
     """Four characters or more, no digit, three letters or more, none of them lower case."""
     t = normalize_ws(text)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from lexmill.plans import cases, details, graphs, planned, quality, resolution, retrieval, schemas, texts
+from lexmill.plans import cases, details, graphs, planned, quality, resolution, retrieval, schemas, statutes, texts
 
+MODULES = (retrieval, graphs, quality, texts, cases, resolution, schemas, planned, details, statutes)
 FLAGSHIP = "hybrid_search"
-QUERIES = {name: q for module in (retrieval, graphs, quality, texts, cases, resolution, schemas, planned, details) for name, q in module.query.queries.items()}
-ORACLE_SQL = {name: sql for module in (retrieval, graphs, quality, texts, cases, resolution, schemas, planned, details) for name, sql in module.query.sql.items()}
+QUERIES = {name: q for module in MODULES for name, q in module.query.queries.items()}
+ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.query.sql.items()}
