@@ -291,6 +291,9 @@ def amendments(drafts: DataFrame) -> DataFrame:
     )
 
 
+WHOLE_PART = ["doc", "citation", "section", "part", "text", "local_path", "heading_path", "first_order", "last_order"]
+
+
 def label_depth(label: str) -> int:
     if label.isdigit():
         return 1
@@ -321,8 +324,8 @@ def section_provisions(marked: DataFrame, drafts: DataFrame, edition_year: int)
     """doc, citation, provision_id, display_citation, provision_type, local_path, depth, text, heading_path, order_index, first_order and last_order of the parts of primary sections.
 
     A paragraph that begins with labels, as in `(1)(a)`, opens a part; others go on with it; what stands before any label is the root.
-    A label goes below the open ones of lower depth. A path that comes again gets _v2, _v3 and so on at its end. Parts without text are left out.
-    A part has the headings open at its first paragraph.
+    A label goes below the open ones of lower depth. A path that comes again gets _v2, _v3 and so on at its end. Parts without text are left out;
+    a section of such parts only is one root part with its whole text. A part has the headings open at its first paragraph.
     """
     chain = r"^((?:\([0-9A-Za-z]+\))+)\s*(.*)$"
     rows = marked.where("kind IN ('content', 'start')").join(drafts.where("primary").select("doc", "section", F.col("title").alias("named")), ["doc", "section"])
@@ -341,6 +344,9 @@ def section_provisions(marked: DataFrame, drafts: DataFrame, edition_year: int)
     walked = F.pandas_udf(paths, "array<array<string>>")(F.transform("opened", lambda o: o["labels"]))
     opened = opened.select("doc", "section", F.posexplode(walked).alias("part", "local_path")).withColumn("part", F.col("part") + 1)
     parts = parts.where("text <> ''").join(opened, ["doc", "section", "part"], "left").withColumn("local_path", F.coalesce("local_path", F.array(F.lit("root"))))
+    whole = rows.groupBy("doc", "citation", "section").agg(F.array_sort(F.collect_list(F.struct("order", "content"))).alias("said"), F.min_by("heading_path", "order").alias("heading_path"), F.min("order").alias("first_order"), F.max("order").alias("last_order"))
+    whole = whole.join(parts.select("doc", "section"), ["doc", "section"], "left_anti")  # sections of labels alone
+    parts = parts.select(*WHOLE_PART).unionByName(whole.select(*WHOLE_PART[:3], F.lit(0).cast("long").alias("part"), one_line(F.array_join(F.transform("said", lambda s: s["content"]), " ")).alias("text"), F.array(F.lit("root")).alias("local_path"), "heading_path", "first_order", "last_order"))
     again = F.row_number().over(Window.partitionBy("doc", "section", "local_path").orderBy("part"))
     last = F.concat(F.element_at("local_path", -1), F.when(again > 1, F.concat(F.lit("_v"), again.cast("string"))).otherwise(""))
     parts = parts.withColumn("local_path", F.concat(F.slice("local_path", 1, F.size("local_path") - 1), F.array(last)))
