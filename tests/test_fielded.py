@@ -101,6 +101,8 @@ def test_empty_index(spark):
 
 def test_frequent_terms_lie_in_several_files(spark):
     path = tempfile.mkdtemp(prefix="spark-") + "/index"
-    fielded.build(spark.range(400).selectExpr("id", "'the' AS text"), path, {"text": 1.0}, file_rows=100)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small files would be made one
+    fielded.build(spark.range(400).selectExpr("id", "'the' AS text"), path, {"text": 1.0}, file_rows=50)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     files = spark.read.parquet(f"{path}/postings").groupBy(F.input_file_name()).count().collect()
     assert len(files) > 2 and sum(r["count"] for r in files) == 400
