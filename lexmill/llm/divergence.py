@@ -21,7 +21,7 @@ from lexmill.llm.common import materialize
 #: Frequencies are in parts of this; smoothing adds PRIOR to each count.
 SCALE, PRIOR = 1_000_000_000, 5
 #: Bytes of text that are counted at once where texts are read; rows of a shard that are worked on at once.
-TEXT_BYTES, CHUNK_ROWS = 32 << 20, 1 << 18
+TEXT_BYTES, CHUNK_ROWS = 8 << 20, 1 << 17
 
 #: Letters stay, A-Z in lower case, as do all bytes of non-ASCII characters; anything else parts terms.
 LETTERS = bytes(c | 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
