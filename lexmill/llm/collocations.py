@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import materialize
 
 #: Words of a shard, at most (with some bytes of text to spare); bytes of text that are cut into words at once.
-SHARD_WORDS, TEXT_BYTES = 6_000_000, 4 << 20
+SHARD_WORDS, TEXT_BYTES = 500_000, 1 << 20
 #: Bits of a word's number within a shard: three have to fit in 63.
 BITS = 21
 #: Bits of the bitmap for each frequent factor, at least, and in all, at most (16 MB).
