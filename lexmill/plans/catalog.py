@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexmill.plans import cases, details, fielded_search, graphs, patches, planned, quality, resolution, retrieval, schemas, statutes, texts, vicinity
+from lexmill.plans import cases, details, fielded_search, graphs, markdown_forms, patches, planned, quality, resolution, retrieval, schemas, statutes, texts, vicinity
 
-MODULES = (retrieval, graphs, quality, texts, cases, resolution, schemas, planned, details, statutes, vicinity, fielded_search, patches)
+MODULES = (retrieval, graphs, quality, texts, cases, resolution, schemas, planned, details, statutes, vicinity, fielded_search, patches, markdown_forms)
 FLAGSHIP = "hybrid_search"
 QUERIES = {name: q for module in MODULES for name, q in module.query.queries.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.query.sql.items()}
