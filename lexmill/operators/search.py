@@ -35,6 +35,18 @@ def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def file_state(df: DataFrame) -> tuple:
+    """Path, size and time of change of each file of a table: what an index built from it is good for."""
+    spark = df.sparkSession
+    conf = spark._jsc.hadoopConfiguration()
+    found = []
+    for name in sorted(df.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        found.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(found)
+
+
 def build_index(docs: DataFrame, id_col: str, text_col: str, path: str) -> None:
     """Stores a full-text index: postings (term, id, tf, length) in buckets of terms, ordered by term, and one row of facts (n, mean). ids are unique; null texts have no words but count."""
     words = spread(docs).select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words")).withColumn("length", F.size("words"))

@@ -23,15 +23,15 @@ VECTORS = """
     vec AS (SELECT vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], q.v) AS similarity FROM embeddings, q)"""
 
 
-#: Where each table's index is, by session and table: it is built when first asked for and searched from then on.
-INDEXES: dict[tuple[str, str], str] = {}
+#: Where each table's index is, by session and the table's files as they stand: it is built when first asked for and searched until a file changes.
+INDEXES: dict[tuple, str] = {}
 
 
 def index_of(t):
     """The session and the path of the stored index of the documents."""
     docs = t("documents")
     spark = docs.sparkSession
-    key = (spark.sparkContext.applicationId, ",".join(sorted(docs.inputFiles())))
+    key = (spark.sparkContext.applicationId, search.file_state(docs))
     if key not in INDEXES:
         path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
         search.build_index(docs, "doc_id", "text", path)
