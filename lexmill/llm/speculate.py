@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from lexmill.llm.bpe import PATTERN, byte_symbols, vocabulary
 from lexmill.llm.common import two_columns
 
-#: Words that a worker remembers, up to LONGEST characters each, before it starts anew; an entry takes about 250 bytes.
-REMEMBERED, LONGEST = 300_000, 64
+#: Units that a worker remembers, up to LONGEST characters each, before it starts anew; an entry takes about 250 bytes.
+REMEMBERED, LONGEST = 600_000, 64
 #: A text is worked on in parts of about so many characters.
 PART = 1 << 20
 #: A rank that no merge has.
@@ -64,6 +64,7 @@ class Vocabulary:
         for rank, m in enumerate(model["merges"]):
             left, right = m.split(" ") if isinstance(m, str) else m
             self.merges[ids[left] << 20 | ids[right]] = rank << 20 | ids[left + right]
+        self.byte_pairs = [[self.merges.get(a << 20 | b, NEVER << 20) for b in self.byte] for a in self.byte]
         self.made, self.left, self.right = np.full(size, -1), np.zeros(size, np.int64), np.zeros(size, np.int64)
         keys = np.array([*self.merges], np.int64)
         order = np.argsort(keys)
@@ -85,11 +86,11 @@ class Vocabulary:
 
     def merged(self, data: bytes, last: int = -1) -> list[int]:
         """The tokens that merging gives: the pair of lowest rank, then the leftmost, first. last: a pair whose merge is left out."""
-        get, none = self.merges.get, NEVER << 20
-        parts = [self.byte[c] for c in data]
+        get, none, table = self.merges.get, NEVER << 20, self.byte_pairs
+        parts = list(map(self.byte.__getitem__, data))
         if len(parts) > 200:
             return self.merged_long(parts)
-        ranks = [get(a << 20 | b, none) for a, b in zip(parts, parts[1:])]
+        ranks = [table[a][b] for a, b in zip(data, data[1:])]
         while ranks and (least := min(ranks)) < none:
             i = ranks.index(least)
             if parts[i] << 20 | parts[i + 1] == last:
@@ -135,8 +136,6 @@ class Vocabulary:
                 n, token = 1, get(data[at : at + 1])
             found.append(token)
             at += n
-        if end and sum(map(len, map(self.bytes.__getitem__, found))) != end:
-            raise ValueError("a guess does not cover its word")
         return found
 
     def compatible(self, left, right):
@@ -241,20 +240,28 @@ class Encoder:
 
     def learn(self, missing: set, units: set) -> None:
         """Encodes new units together. They are remembered, and so are those of units, at least."""
-        split = {u: self.words_of(u) for u in missing}
-        words = set(chain.from_iterable(split.values()))
-        new = list(words - self.known_words.keys())
-        tokens, failed = self.vocabulary.encode_words(new)
-        self.guessed += len(new)
-        self.failed += failed
-        if len(self.known_words) + len(new) > REMEMBERED:
-            self.known_words = {w: t for w in words if (t := self.known_words.get(w)) is not None}
-        self.known_words.update(zip(new, tokens))
         if len(self.known) + len(missing) > REMEMBERED:
             self.known = {u: self.known[u] for u in units - missing}
-        get = self.known_words.__getitem__
-        for u, w in split.items():
-            self.known[u] = get(w[0]) if len(w) == 1 else tuple(chain.from_iterable(map(get, w)))
+        known, several, new = self.known, {}, []
+        for u in missing:
+            if u.__class__ is str and u.isalpha():
+                new.append(u)
+            else:
+                several[u] = self.words_of(u)
+        words = set(chain.from_iterable(several.values()))
+        # a word after a space that is all letters is remembered as a unit
+        plain = {w: w[1:] for w in words if w[:1] == " " and w[1:].isalpha()}
+        new += {u for u in plain.values() if u not in known} - missing
+        others = [w for w in words if w not in plain and w not in self.known_words]
+        tokens, failed = self.vocabulary.encode_words([" " + u for u in new] + others)
+        self.guessed += len(tokens)
+        self.failed += failed
+        known.update(zip(new, tokens))
+        if len(self.known_words) + len(others) > REMEMBERED:
+            self.known_words = {w: t for w in words if (t := self.known_words.get(w)) is not None}
+        self.known_words.update(zip(others, tokens[len(new) :]))
+        for u, parts in several.items():
+            known[u] = tuple(chain.from_iterable([known[plain[w]] if w in plain else self.known_words[w] for w in parts]))
 
     def forget(self, units) -> None:
         """Long units would make the tables large; those beside a space that may not be safe have to be seen as new again."""
@@ -286,23 +293,28 @@ class Encoder:
 
     def looked_up(self, texts: list[list[str | int]]) -> list[list[list[int]]]:
         split = [[p if isinstance(p, int) else self.units(p) for p in parts] for parts in texts]
-        units = set(chain.from_iterable(p for parts in split for p in parts if not isinstance(p, int)))
-        missing = units - self.known.keys()
-        odd = {u for u in missing if self.beside_unsafe(u)}
-        if odd:
+        tokens, missing = self.remembered(split)
+        if odd := {u for u in missing if self.beside_unsafe(u)}:
             for parts, at in zip(split, texts):
                 for k, p in enumerate(parts):
                     if not isinstance(p, int) and not odd.isdisjoint(p):
                         parts[k] = self.safe_units(at[k])
-            units = set(chain.from_iterable(p for parts in split for p in parts if not isinstance(p, int)))
-            missing = units - self.known.keys()
+            tokens, missing = self.remembered(split)
         if missing:
-            self.learn(missing, units)
-        get = self.known.__getitem__
+            self.learn(missing, missing | tokens.keys())
+            tokens |= {u: self.known[u] for u in missing}
+        get = tokens.__getitem__
         found = [[[p] if isinstance(p, int) else list(chain.from_iterable(map(get, p))) for p in parts] for parts in split]
         self.forget(missing)
         return found
 
+    def remembered(self, split: list[list]) -> tuple[dict, set]:
+        """The remembered units of some texts with their tokens, a small table, and the units that are new."""
+        units = set(chain.from_iterable(p for parts in split for p in parts if not isinstance(p, int)))
+        get = self.known.get
+        tokens = {u: t for u in units if (t := get(u)) is not None}
+        return tokens, units - tokens.keys()
+
     @staticmethod
     def beside_unsafe(unit: str | tuple[str]) -> bool:
         """Whether a part with this unit may have a space next to white space, or at its end."""
