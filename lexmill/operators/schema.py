@@ -293,15 +293,17 @@ def load(kind: str, rows: DataFrame, order: Column, tables: dict[str, DataFrame]
     return last.withColumn("labels", labels_of(kind, last.columns))
 
 
-def edges(found: list[Rule], tables: dict[str, DataFrame]) -> DataFrame:
-    """src, type and dst of the edges that rules make between the given nodes, each once. Rules of tables that aren't given, or lack the column, are passed over."""
+def edges(found: list[Rule], tables: dict[str, DataFrame], without: set[tuple[str, str]] = frozenset()) -> DataFrame:
+    """src, type and dst of the edges that rules make between the given nodes, each once. Rules of tables that aren't given are passed over; one that names a column that its table lacks is an error, unless without lists its (kind, edge)."""
     parts = []
     for r in found:
         if r.kind not in tables or r.target not in tables:
             continue
         nodes, targets = tables[r.kind], tables[r.target]
-        if not set(re.findall(r"\b[a-z_]+\b(?!\()", re.sub(r"'[^']*'", "", f"{r.column} {r.condition or ''}"))) - {"in"} <= set(nodes.columns):
+        if (r.kind, r.edge) in without:
             continue
+        if lacking := set(re.findall(r"\b[a-z_]+\b(?!\()", re.sub(r"'[^']*'", "", f"{r.column} {r.condition or ''}"))) - {"in"} - set(nodes.columns):
+            raise ValueError(f"{r.kind} lacks {', '.join(sorted(lacking))} for {r.edge}")
         nodes = nodes.where(r.condition) if r.condition else nodes
         left = nodes.select(F.col(key_of(r.kind)).cast("string").alias("a"), F.expr(r.column).cast("string").alias("k"))
         right = targets.select(F.col(key_of(r.target)).cast("string").alias("b"), F.expr(r.target_column).cast("string").alias("t"))

@@ -1,5 +1,7 @@
 """Node kinds, their labels and edges on small rows."""
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from lexmill.operators import schema
@@ -54,8 +56,12 @@ def test_edges_by_expressions_and_conditions(spark):
     }
     assert triples(schema.edges(schema.BY_KIND["ChapterTocEntry"], tables)) == [("or:ors:chapter:90@2025", "HAS_TOC_ENTRY", "t1")]
     assert triples(schema.edges(schema.BY_PASS["chunk"], tables)) == [("k1", "DERIVED_FROM", "v1"), ("k2", "DERIVED_FROM", "p1"), ("p1", "HAS_CHUNK", "k2"), ("v1", "HAS_STATUTE_CHUNK", "k1")]
-    assert triples(schema.edges(schema.BY_PASS["citation"], tables)) == [("m1", "RESOLVES_TO_CHAPTER", "or:ors:chapter:90@2025")]
-    assert ("x1", "HAS_AMOUNT", "y1") in triples(schema.edges(schema.BY_PASS["specialized"], tables))
+    with pytest.raises(ValueError, match="CitationMention lacks source_provision_id for MENTIONS_CITATION"):
+        schema.edges(schema.BY_PASS["citation"], tables)
+    lacking = {(r.kind, r.edge) for r in schema.BY_PASS["citation"] if r.kind == "CitationMention" and r.edge != "RESOLVES_TO_CHAPTER"}
+    assert triples(schema.edges(schema.BY_PASS["citation"], tables, lacking)) == [("m1", "RESOLVES_TO_CHAPTER", "or:ors:chapter:90@2025")]
+    amounts = [r for r in schema.BY_PASS["specialized"] if r.edge == "HAS_AMOUNT"]
+    assert ("x1", "HAS_AMOUNT", "y1") in triples(schema.edges(amounts, tables))
 
 
 def test_targets_by_precedence_lists_and_provenance(spark):
