@@ -88,8 +88,8 @@ def direct_opens(t):
 )
 def ranked_candidates(t):
     """Candidates of two arms folded to one row a query and key."""
-    h = t("lineitem").where("l_linenumber <= 2").select(F.col("l_suppkey").alias("query_id"), F.concat(F.lit("k"), (F.col("l_partkey") % 20).cast("string")).alias("key"), F.col("l_linenumber").alias("arm"), "l_orderkey", (F.col("l_quantity").cast("double") / 10).alias("score"))
-    one = h.groupBy("query_id", "key", "arm").agg(F.min_by("score", "l_orderkey").alias("score"))
+    h = t("lineitem").where("l_linenumber <= 2 AND l_orderkey IS NOT NULL").select(F.col("l_suppkey").alias("query_id"), F.concat(F.lit("k"), (F.col("l_partkey") % 20).cast("string")).alias("key"), F.col("l_linenumber").alias("arm"), "l_orderkey", (F.col("l_quantity").cast("double") / 10).alias("score"))
+    one = h.groupBy("query_id", "key", "arm").agg(F.min_by("score", F.struct("l_orderkey", F.isnull("score"), -F.col("score"))).alias("score"))  # of rows of one order the best
     rows = one.select("*", F.when(F.col("arm") % 2 == 0, "provision").otherwise("chunk").alias("kind"), F.lit(0.0).alias("boost"))
     return planning.ranked(rows).select("query_id", "key", F.round("score", 6).alias("score"), "kind")
 

@@ -106,3 +106,13 @@ def test_ranked(spark):
     rows = [(1, "a", 1, "chunk", 2.0, 0.0), (1, "a", 2, "provision", 1.0, 0.5), (1, "b", 1, "chunk", 9.0, 0.0), (2, "a", 1, "chunk", 1.0, 0.0)]
     got = {(r["query_id"], r["key"]): (round(r["score"], 4), r["kind"], r["rank"]) for r in p.ranked(spark.createDataFrame(rows, "query_id int, key string, arm int, kind string, score double, boost double")).collect()}
     assert got == {(1, "a"): (2.575, "provision", 2), (1, "b"): (9.0, "chunk", 1), (2, "a"): (1.0, "chunk", 1)}
+
+
+def test_rows_of_one_order_give_their_best(spark):
+    """Which of several rows of the first order stands for an arm does not depend on the order of reading."""
+    from lexmill.plans import planned
+
+    for quantities in ([5.0, 9.0, None], [9.0, 5.0, None], [None, 5.0, 9.0]):
+        rows = [(1, 20, 7, 1, q) for q in quantities] + [(2, 20, 7, 1, 40.0)]
+        table = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").coalesce(1)
+        assert [tuple(r) for r in planned.ranked_candidates(lambda name: table).collect()] == [(7, "k0", 0.9, "chunk")]
