@@ -35,7 +35,9 @@ def rule_pack_memberships(packs: DataFrame, requirements: DataFrame) -> DataFram
 
     packs: rule_pack_id, work_product_types; requirements: requirement_id, semantic_type, applies_to. A general pack and one for
     filing hold the requirements of their semantic types; any other holds those that apply to one of its types or to every court document.
-    Both sides name what they hold or are by keys, so they meet in an equi-join; nulls hold nothing.
+    Both sides name what they hold or are by keys, so they meet in an equi-join; nulls hold nothing. Few packs have few keys, so
+    the packs are broadcast: keyed by them, requirements would meet in one task a key. Requirements are spread by their id instead,
+    and pairs are made different where they are.
     """
     keys = named("applies", F.array_append(F.coalesce("work_product_types", F.array().cast("array<string>")), F.lit(ANY_DOCUMENT)))
     keys = F.when(F.size("work_product_types") > 0, keys).otherwise(F.array().cast("array<string>"))
@@ -43,15 +45,15 @@ def rule_pack_memberships(packs: DataFrame, requirements: DataFrame) -> DataFram
         keys = F.when(F.endswith("rule_pack_id", F.lit(end)), named("type", F.array(*map(F.lit, types)))).otherwise(keys)
     held = packs.select("rule_pack_id", F.explode(F.array_distinct(keys)).alias("key"))
     own = F.concat(named("applies", F.col("applies_to")), named("type", F.array_compact(F.array("semantic_type"))))
-    offered = requirements.select("requirement_id", F.explode(F.array_distinct(F.array_compact(own))).alias("key"))
-    pairs = held.join(offered, "key").select("rule_pack_id", "requirement_id").distinct()
+    parts = int(requirements.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that they are not made fewer and larger
+    offered = requirements.select("requirement_id", F.array_distinct(F.array_compact(own)).alias("keys")).repartition(parts, "requirement_id").select("requirement_id", F.explode("keys").alias("key"))
+    pairs = offered.join(F.broadcast(held), "key").select("rule_pack_id", "requirement_id").distinct()
     return pairs.select(F.concat(F.lit("rule_pack_membership:"), stable_id(F.concat_ws("::", "rule_pack_id", "requirement_id"))).alias("membership_id"), "rule_pack_id", "requirement_id")
 
 
 def includes_rule_edges(memberships: DataFrame, requirements: DataFrame) -> DataFrame:
     """src (pack), dst (requirement) and type of the memberships whose requirement is there."""
-    there = requirements.select("requirement_id").distinct()
-    return memberships.join(there, "requirement_id", "left_semi").select(F.col("rule_pack_id").alias("src"), F.col("requirement_id").alias("dst"), F.lit("INCLUDES_RULE").alias("type")).distinct()
+    return memberships.join(requirements.select("requirement_id"), "requirement_id", "left_semi").select(F.col("rule_pack_id").alias("src"), F.col("requirement_id").alias("dst"), F.lit("INCLUDES_RULE").alias("type")).distinct()
 
 
 def concept_terms(text: Column, limit: int) -> Column:

@@ -56,3 +56,14 @@ def test_concepts(spark):
         4: [("notices", t) for t in packs.CONCEPTS["notices"][1]] + [("filing_service", t) for t in packs.CONCEPTS["filing_service"][1][:2]],
     }
     assert texts.select(F.size(packs.concept_terms(F.col("t"), 0)).alias("n")).where("n > 0").count() == 0
+
+
+def test_packs_meet_requirements_where_these_are(spark):
+    """No join that brings a key's requirements into one task: packs are broadcast, and requirements shuffled by their ids alone."""
+    held = spark.createDataFrame([("x:a", ["motion"]), ("x:general_document", ["motion"])], "rule_pack_id string, work_product_types array<string>")
+    requirements = spark.range(50).selectExpr("'q' || id % 40 AS requirement_id", "'FormattingRequirement' AS semantic_type", "array('motion') AS applies_to")
+    members = packs.rule_pack_memberships(held, requirements)
+    plan = members._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert plan.count("Exchange hashpartitioning(") == plan.count("Exchange hashpartitioning(requirement_id")
+    assert members.count() == 80
