@@ -68,3 +68,21 @@ def test_recall_on_the_test_table(spark):
 def test_empty(spark):
     path = store(spark, [])
     assert cells.search_many(spark, path, spark.createDataFrame([(1, [1.0])], "query int, vector array<double>"), 3).count() == 0
+
+
+def test_rows_and_queries_meet_in_bounded_parts(spark, monkeypatch):
+    """Parts, splits, groups of queries and blocks smaller than cells, with many copies, give what comparing all gives; before, each pair was a row with both vectors."""
+    for name, value in {"BLOCK": 7, "PART_ROWS": 20, "PART_QUERIES": 4, "MOST_HELD": 10}.items():
+        monkeypatch.setattr(cells, name, value)
+    random.seed(8)
+    rows = [(i, [random.gauss(0, 1) for _ in range(5)]) for i in range(120)]
+    rows += [(500 + i, list(rows[3][1])) for i in range(30)]
+    path = store(spark, rows, cells=4, sample=60)
+    queries = dict(rows[:9])
+    asked = spark.createDataFrame(list(queries.items()), "query int, vector array<float>")
+    found = cells.search_many(spark, path, asked, 6, probes=1, exact=True)
+    got = {}
+    for r in found.orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append(r["id"])
+    assert got == {q: nearest(rows, v, 6) for q, v in queries.items()}
+    assert "FlatMapCoGroups" in found._jdf.queryExecution().optimizedPlan().toString()
