@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
+def slices(columns: list, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Where to cut a batch, so that its Arrow text columns have about most_bytes between two cuts (a longer row stands alone): only a slice is ever held as Python strings."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(sum(pc.fill_null(pc.binary_length(c.cast(pa.binary())), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns))
+    at = 0
+    while at < len(ends):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bytes, side="right")))
+        yield at, upto
+        at = upto
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in the given order, by an aggregate that combines before the shuffle."""
     rest = [c for c in df.columns if c not in keys]

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.operators.loading import slices
+
 BLOCK = "block_id string, parent_id string, ordinal int, type string, role string, text string, number int, attributes map<string,string>"
 RECORD = "record_id string, kind string, block_id string, start int, stop int, attributes map<string,string>"
 OPERATION = "n int, op string, block_id string, parent_id string, after_id string, other_id string, record_id string, kind string, position int, start int, stop int, keep boolean, fields map<string,string>"
@@ -190,8 +192,15 @@ def fold(blocks: list[dict], records: list[dict], operations: list[dict]) -> dic
     return {"error": None, "blocks": [document.blocks[b] for b in order], "records": list(document.records.values()), "tombstones": document.tombstones, "template": document.template}
 
 
-def folded(blocks: pd.Series, records: pd.Series, operations: pd.Series) -> pd.Series:
-    return pd.Series([json.dumps(fold(*(json.loads(x or "[]") for x in row))) for row in zip(blocks, records, operations)])
+def folded(batches):
+    """doc and result of each document, a slice of a batch at a time."""
+    import pyarrow as pa
+
+    for b in batches:
+        for at, upto in slices(b.columns[1:]):
+            rows = zip(*(c.slice(at, upto - at).to_pylist() for c in b.columns[1:]))
+            results = [json.dumps(fold(*(json.loads(x or "[]") for x in row))) for row in rows]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(at, upto - at), pa.array(results, pa.string())], names=["doc", "result"])
 
 
 def names(ddl: str) -> list[str]:
@@ -218,8 +227,9 @@ def apply_patches(blocks: DataFrame, records: DataFrame, operations: DataFrame)
     """
     docs = operations.select("doc").distinct()
     rows = gathered(operations, docs, OPERATION, "operations").join(gathered(blocks, docs, BLOCK, "blocks"), "doc", "left").join(gathered(records, docs, RECORD, "records"), "doc", "left")
-    result = F.from_json(F.pandas_udf(folded, "string")("blocks", "records", "operations"), f"error string, blocks array<struct<{typed(BLOCK)}>>, records array<struct<{typed(RECORD)}>>, tombstones array<struct<{typed(BLOCK)}>>, template string")
-    return rows.select("doc", result.alias("r")).select("doc", "r.*")
+    results = rows.select("doc", "blocks", "records", "operations").mapInArrow(folded, f"doc {rows.schema['doc'].dataType.simpleString()}, result string")
+    result = F.from_json("result", f"error string, blocks array<struct<{typed(BLOCK)}>>, records array<struct<{typed(RECORD)}>>, tombstones array<struct<{typed(BLOCK)}>>, template string")
+    return results.select("doc", result.alias("r")).select("doc", "r.*")
 
 
 def typed(ddl: str) -> str:

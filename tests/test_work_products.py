@@ -97,3 +97,16 @@ def test_tables(tables):
 def test_tree(tables):
     rows = w.block_tree(tables[0].where("doc = 'd3'")).orderBy("place").collect()
     assert [(r["block_id"], r["parent_id"], r["depth"]) for r in rows] == [("w", None, 0), ("x", None, 0), ("y", "x", 1)]
+
+
+def test_batches_are_folded_in_slices():
+    """A batch of long documents is never held whole as Python strings."""
+    import json
+
+    import pyarrow as pa
+
+    blocks = [json.dumps([{"block_id": "b", "parent_id": None, "ordinal": 1, "text": "x" * 700_000}])] * 5 + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(blocks, pa.string()), pa.array([None] * 6, pa.string()), pa.array(["[]"] * 6)], names=["doc", "blocks", "records", "operations"])
+    out = list(w.folded([batch]))
+    assert len(out) >= 5 and [d for b in out for d in b.column(0).to_pylist()] == list(range(6))
+    assert len(json.loads(out[0].column(1)[0].as_py())["blocks"][0]["text"]) == 700_000
