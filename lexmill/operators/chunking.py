@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import CHARS_PER_TOKEN, estimate_tokens
-from lexmill.operators.loading import spread
+from lexmill.operators.loading import slices, spread
 
 #: Token budgets by kind of chunk; editions before the given year have that much less.
 BUDGETS = {"full_statute": 28_000, "full_statute_context": 26_000, "contextual_provision": 16_000, "citation_context": 16_000, "definition_block": 18_000, "exception_block": 16_000, "penalty_block": 14_000}
@@ -56,18 +55,27 @@ def chunks(df: DataFrame, id_col: str, text_col: str, tokens: int, overlap_words
     """id, part, parts, text and n_tokens: each text in parts of at most `tokens` planned tokens, each beginning with the last words of the part before."""
     most = int(tokens * CHARS_PER_TOKEN)
 
-    def parts_of(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            parts = split_text(text or "", most)
-            if overlap_words:
-                for k in range(1, len(parts)):  # the part before already has its own overlap
-                    parts[k] = " ".join([*parts[k - 1].split()[-overlap_words:], parts[k]])
-            out.append(parts)
-        return pd.Series(out)
-
-    split = F.pandas_udf(parts_of, "array<string>")
-    rows = spread(df).select(F.col(id_col).alias("id"), split(F.col(text_col)).alias("p")).select("id", F.size("p").alias("parts"), F.posexplode("p").alias("part", "text"))
+    def parts_of(text: str | None) -> list[str]:
+        parts = split_text(text or "", most)
+        if overlap_words:
+            for k in range(1, len(parts)):  # the part before already has its own overlap
+                parts[k] = " ".join([*parts[k - 1].split()[-overlap_words:], parts[k]])
+        return parts
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for at, upto in slices([b.column(1)]):
+                found = [parts_of(t) for t in b.column(1).slice(at, upto - at).to_pylist()]
+                sizes = np.array([len(x) for x in found], np.int32)
+                row = np.repeat(np.arange(at, upto), sizes)
+                part = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(part), pa.array(np.repeat(sizes, sizes)), pa.array([x for one in found for x in one], pa.string())], names=["id", "part", "parts", "text"])
+
+    texts = spread(df).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, part int, parts int, text string")
     return rows.select("id", "part", "parts", "text", estimate_tokens(F.col("text")).alias("n_tokens"))
 
 

@@ -168,3 +168,15 @@ def test_release_manifest_of_every_table(spark):
         lines = [r[0] for r in rows.select(F.to_json(F.struct(*sorted(rows.columns)))).collect()]
         want.append((name, len(lines), str(sum(int(hashlib.sha256(x.encode()).hexdigest()[:15], 16) for x in lines))))
     assert sorted(map(tuple, catalog.QUERIES["release_manifest"](spark, folder).collect())) == want and len(want) == 14
+
+
+def test_chunks_come_in_slices(spark):
+    """Ids of any kind, null texts without parts, and batches cut by their bytes."""
+    import pyarrow as pa
+
+    from lexmill.operators import chunking, loading
+
+    assert list(loading.slices([pa.array(["abcd", None, "ab", "abcdefgh", ""])], 6)) == [(0, 3), (3, 4), (4, 5)]
+    table = spark.createDataFrame([("a", "one two three four five six"), ("b", None), ("c", "one")], "id string, t string")
+    got = [tuple(r)[:4] for r in chunking.chunks(table, "id", "t", tokens=2, overlap_words=1).orderBy("id", "part").collect()]
+    assert [g[:3] for g in got] == [("a", 0, 3), ("a", 1, 3), ("a", 2, 3), ("c", 0, 1)] and got[1][3].startswith(got[0][3].split()[-1])
