@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import first_clause, first_sentence, money_value, normalize_ws, percent_value, stable_id
+from lexmill.functions.text import first_clause, first_sentence, money_value, normalize_ws, percent_value, stable_id, tidied
 from lexmill.operators.loading import spread
 
 SECTION = r"[0-9]{1,3}[A-Z]?\.[0-9]{3,4}"
@@ -19,6 +19,8 @@ CHAPTER = r"\bORS\s+chapters?\s+([0-9]{1,3}[A-Z]?)\b"
 GROUP = rf"\bORS\s+({SECTION}{PINS}(?:\s*(?:,|or|and)\s*{SECTION}{PINS})*)"
 #: All shapes in one pattern, which goes over a text once.
 MENTION = "(?i)" + "|".join(f"(?:{p})" for p in (RANGE, CHAPTER_RANGE, CHAPTER, GROUP))
+#: Texts that a task reads at most on average.
+TASK_ROWS = 100_000
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 LONG_DATE = rf"(?i)\b(?:{MONTHS})\s+\d{{1,2}},\s+[12]\d{{3}}\b"
 MONEY = r"\$[0-9][0-9,]*(?:\.\d{2})?"
@@ -237,24 +239,28 @@ def remedy_type(text: Column) -> Column:
     return F.when(given, F.when(has_any(text, ["damages", "recover"]), "damages").when(has_any(text, ["injunctive"]), "injunctive_relief").when(has_any(text, ["terminate"]), "termination").otherwise("remedy"))
 
 
-def is_candidate(kind: str, text: Column) -> Column:
-    """Whether a provision may hold a definition, an exception, a deadline or a penalty."""
-    found = F.regexp_like(normalize_ws(text), F.lit(CANDIDATES[kind]))
+def is_candidate(kind: str, text: Column, normal: Column | None = None) -> Column:
+    """Whether a provision may hold a definition, an exception, a deadline or a penalty. normal: its normalize_ws, if that is at hand."""
+    found = F.regexp_like(normalize_ws(text) if normal is None else normal, F.lit(CANDIDATES[kind]))
     return found & ~(F.contains(text, F.lit("civil liability")) & ~F.contains(text, F.lit("civil penalty"))) if kind == "Penalty" else found
 
 
-def semantic_types(text: Column) -> Column:
-    """Sorted labels of what a provision holds."""
+def semantic_types(text: Column, candidate: dict[str, Column] | None = None) -> Column:
+    """Sorted labels of what a provision holds. candidate: is_candidate of each kind, if that is at hand."""
     low = F.lower(text)
     rules = {"Obligation": is_obligation(text), "Permission": F.contains(low, F.lit(" may ")) | low.startswith("may "), "MoneyAmount": F.regexp_like(text, F.lit(MONEY)), "TimePeriod": F.regexp_like(text, F.lit(DURATION)) | F.regexp_like(text, F.lit(LONG_DATE))}
-    rules |= {kind: is_candidate(kind, text) for kind in CANDIDATES} | {kind: has_any(text, words) for kind, words in TYPE_WORDS.items()}
-    return F.array_compact(F.array(*[F.when(rules[k], F.lit(k)) for k in sorted(rules)]))
+    rules |= (candidate or {kind: is_candidate(kind, text) for kind in CANDIDATES}) | {kind: has_any(text, words) for kind, words in TYPE_WORDS.items()}
+    return F.array_remove(F.array(*[F.when(rules[k], F.lit(k)).otherwise("") for k in sorted(rules)]), "")  # unlike array_compact it runs as compiled code
 
 
 def semantic_rows(provisions: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and, in one pass, what each provision says: actor, actor_kind, verb, object, condition, term, scope, scope_range, duration, trigger, penalty, amounts, tax, limit, notice, form, remedy and types. Empty texts are left out."""
-    rows = spread(provisions).select(F.col(id_col).alias("id"), normalize_ws(F.col(text_col)).alias("t")).where("t <> ''")
-    t = F.col("t")
-    fields = {"actor": actor(t), "actor_kind": actor_kind(actor(t)), "verb": modality(t), "object": action(t), "condition": condition(t), "term": F.when(is_candidate("Definition", t), defined_term(t)), "scope": F.when(is_candidate("Definition", t), scope_type(t)), "scope_range": scope_range(t), "duration": F.when(is_candidate("Deadline", t), duration(t)), "trigger": F.when(is_candidate("Deadline", t), deadline_trigger(t)), "penalty": F.when(is_candidate("Penalty", t), penalty(t))}
-    fields |= {"amounts": amounts(t), "tax": tax_rule(t), "limit": rate_limit(t), "notice": required_notice(t), "form": form_type(t), "remedy": remedy_type(t), "types": semantic_types(t)}
+    """id and, in one pass, what each provision says: actor, actor_kind, verb, object, condition, term, scope, scope_range, duration, trigger, penalty, amounts, dates, tax, limit, notice, form, remedy and types. Empty texts are left out."""
+    # explode keeps the filter above it; pushed down, it would compute each text several times over
+    rows = spread(provisions, TASK_ROWS).select(F.col(id_col).alias("id"), F.explode(F.array(tidied(F.col(text_col)))).alias("t")).where("t <> ''")
+    t, candidate = F.col("t"), {kind: F.col(kind) for kind in CANDIDATES}
+    # each in a step of its own, so that what several fields ask for is computed once
+    rows = rows.select("id", "t", tidied(t).alias("normal"))
+    rows = rows.select("id", "t", *[is_candidate(kind, t, F.col("normal")).alias(kind) for kind in CANDIDATES])
+    fields = {"actor": actor(t), "actor_kind": actor_kind(actor(t)), "verb": modality(t), "object": action(t), "condition": condition(t), "term": F.when(candidate["Definition"], defined_term(t)), "scope": F.when(candidate["Definition"], scope_type(t)), "scope_range": scope_range(t), "duration": F.when(candidate["Deadline"], duration(t)), "trigger": F.when(candidate["Deadline"], deadline_trigger(t)), "penalty": F.when(candidate["Penalty"], penalty(t))}
+    fields |= {"amounts": amounts(t), "dates": long_dates(t), "tax": tax_rule(t), "limit": rate_limit(t), "notice": required_notice(t), "form": form_type(t), "remedy": remedy_type(t), "types": semantic_types(t, candidate)}
     return rows.select("id", *[v.alias(k) for k, v in fields.items()])

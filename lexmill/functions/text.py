@@ -28,6 +28,15 @@ def normalize_ws(text: Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"[ \t\r\n]+", " "))
 
 
+#: What normalize_ws changes is in one of these places; the section sign only at the start.
+UNTIDY = "[&\ufffd\u00a0\u2007\u202f\\t\\r\\n]|  |^[ §]| $"
+
+
+def tidied(text: Column) -> Column:
+    """normalize_ws of a text at hand: one with nothing to change is passed on after one search."""
+    return F.when(F.regexp_like(text, F.lit(UNTIDY)), normalize_ws(text)).otherwise(text)
+
+
 def normalize_for_hash(text: Column) -> Column:
     return F.lower(normalize_ws(text))
 

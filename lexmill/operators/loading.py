@@ -9,9 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over all cores if it is read in fewer parts than that, as a small file is; a large table stays as it is."""
+def spread(df: DataFrame, most_rows: int | None = None) -> DataFrame:
+    """df over all cores if it is read in fewer parts than that, as a small file is; a large table stays as it is.
+
+    most_rows: of a part on average, for work that takes long for a row; the rows are counted first, which a stored table's files tell.
+    """
     n = df.sparkSession.sparkContext.defaultParallelism
+    if most_rows:
+        n = max(n, -(-df.count() // most_rows))
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 

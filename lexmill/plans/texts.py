@@ -61,9 +61,8 @@ def citation_mentions(t):
 def semantic_rows(t):
     """What each provision says: actor, verb, condition, amount, date, term, penalty, tax, form, remedy and types."""
     rows = extract.semantic_rows(provisions(t), "id", "t")
-    date = extract.iso_date(F.get(extract.long_dates(F.col("t")), F.lit(0)))
-    told = rows.select("id", "actor", "verb", "condition", F.get("amounts", F.lit(0))["amount"].alias("amount"), "term", F.col("penalty.type").alias("penalty"), F.col("tax.type").alias("tax"), "form", "remedy", F.array_join("types", ",").alias("types"))
-    return told.join(provisions(t).select("id", date.alias("date")), "id")
+    date = extract.iso_date(F.get("dates", F.lit(0)))
+    return rows.select("id", "actor", "verb", "condition", F.get("amounts", F.lit(0))["amount"].alias("amount"), "term", F.col("penalty.type").alias("penalty"), F.col("tax.type").alias("tax"), "form", "remedy", F.array_join("types", ",").alias("types"), date.alias("date"))
 
 
 @query(

@@ -180,3 +180,28 @@ def test_chunks_come_in_slices(spark):
     table = spark.createDataFrame([("a", "one two three four five six"), ("b", None), ("c", "one")], "id string, t string")
     got = [tuple(r)[:4] for r in chunking.chunks(table, "id", "t", tokens=2, overlap_words=1).orderBy("id", "part").collect()]
     assert [g[:3] for g in got] == [("a", 0, 3), ("a", 1, 3), ("a", 2, 3), ("c", 0, 1)] and got[1][3].startswith(got[0][3].split()[-1])
+
+
+def test_tidied_equals_normalize_ws(spark):
+    odd = ["", " ", "a", "a b", " a", "a ", "a  b", "a\tb", "a\r\nb", "a&nbsp;b", "&amp;amp;lt; x", "§ 5", "a § 5", "§a", "� 7", "a �7", "a�", "a b", "a b c", " a", "a ", "a\n", "5", "(1)", "§§(1) x", None]
+    rows = spark.createDataFrame([(t,) for t in odd], "t string").select("t", text.tidied(F.col("t")).alias("got"), text.normalize_ws(F.col("t")).alias("want")).collect()
+    assert len(rows) == len(odd) and [r for r in rows if r["got"] != r["want"]] == []
+
+
+def test_semantic_rows_are_dealt_by_number_and_keep_repeated_ids(spark, monkeypatch, tmp_path):
+    """The parts grow with the rows, and two rows of one id give two rows, as in the SQL."""
+    import duckdb
+
+    monkeypatch.setattr(extract, "TASK_ROWS", 3)
+    rows = spark.range(40).selectExpr("id", "'The tenant shall pay $5.' AS t").coalesce(1)
+    dealt = extract.semantic_rows(rows, "id", "t").select("id", F.spark_partition_id().alias("part")).collect()
+    assert len(dealt) == 40 and len({r["part"] for r in dealt}) > 8
+    orders = [(k // 2, 7 * k, 1000.5 + k) for k in range(24)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = catalog.QUERIES["semantic_rows"](spark, str(tmp_path))
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = base.execute(catalog.ORACLE_SQL["semantic_rows"]).fetchall()
+    got = got.select(*[d[0] for d in base.description])
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key) and len(want) == 24
