@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from lexmill.llm.bpe import PATTERN, byte_symbols, vocabulary
 from lexmill.llm.common import two_columns
 
-#: Units that a worker remembers, up to LONGEST characters each, before it starts anew; an entry takes about 250 bytes.
-REMEMBERED, LONGEST = 600_000, 64
+#: Units, and words, that a worker's table and its older one hold, up to LONGEST characters each; an entry takes about 400 bytes, so that all take 160 MB at most.
+REMEMBERED, LONGEST = 100_000, 64
 #: A text is worked on in parts of about so many characters.
 PART = 1 << 20
 #: A rank that no merge has.
@@ -185,6 +185,9 @@ class Encoder:
         self.known_words: dict[str, tuple[int, ...]] = {}
         #: Of what stands after a space by its string, of a part's beginning by a tuple of its string.
         self.known: dict[str | tuple[str], tuple[int, ...]] = {}
+        #: What the tables held when they were last full; what is asked for again comes back from here.
+        self.older_words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str | tuple[str], tuple[int, ...]] = {}
         self.guessed = self.failed = 0
 
     def parts(self, text: str) -> Iterator[str | int]:
@@ -238,10 +241,17 @@ class Encoder:
             return [text[:-1], bare[-1]]
         return self.words(text)
 
-    def learn(self, missing: set, units: set) -> None:
-        """Encodes new units together. They are remembered, and so are those of units, at least."""
+    @staticmethod
+    def bring_back(wanted, known: dict, older: dict) -> dict:
+        """Those of wanted that only the older table has, now in the other one, too."""
+        again = {u: t for u in wanted if u not in known and (t := older.get(u)) is not None}
+        known.update(again)
+        return again
+
+    def learn(self, missing: set) -> None:
+        """Encodes new units together and remembers them."""
         if len(self.known) + len(missing) > REMEMBERED:
-            self.known = {u: self.known[u] for u in units - missing}
+            self.older, self.known = self.known, {}
         known, several, new = self.known, {}, []
         for u in missing:
             if u.__class__ is str and u.isalpha():
@@ -251,14 +261,17 @@ class Encoder:
         words = set(chain.from_iterable(several.values()))
         # a word after a space that is all letters is remembered as a unit
         plain = {w: w[1:] for w in words if w[:1] == " " and w[1:].isalpha()}
+        self.bring_back(plain.values(), known, self.older)
         new += {u for u in plain.values() if u not in known} - missing
-        others = [w for w in words if w not in plain and w not in self.known_words]
+        several_words = words - plain.keys()
+        self.bring_back(several_words, self.known_words, self.older_words)
+        others = [w for w in several_words if w not in self.known_words]
         tokens, failed = self.vocabulary.encode_words([" " + u for u in new] + others)
         self.guessed += len(tokens)
         self.failed += failed
         known.update(zip(new, tokens))
         if len(self.known_words) + len(others) > REMEMBERED:
-            self.known_words = {w: t for w in words if (t := self.known_words.get(w)) is not None}
+            self.older_words, self.known_words = self.known_words, {w: t for w in words if (t := self.known_words.get(w)) is not None}
         self.known_words.update(zip(others, tokens[len(new) :]))
         for u, parts in several.items():
             known[u] = tuple(chain.from_iterable([known[plain[w]] if w in plain else self.known_words[w] for w in parts]))
@@ -301,7 +314,7 @@ class Encoder:
                         parts[k] = self.safe_units(at[k])
             tokens, missing = self.remembered(split)
         if missing:
-            self.learn(missing, missing | tokens.keys())
+            self.learn(missing)
             tokens |= {u: self.known[u] for u in missing}
         get = tokens.__getitem__
         found = [[[p] if isinstance(p, int) else list(chain.from_iterable(map(get, p))) for p in parts] for parts in split]
@@ -313,6 +326,7 @@ class Encoder:
         units = set(chain.from_iterable(p for parts in split for p in parts if not isinstance(p, int)))
         get = self.known.get
         tokens = {u: t for u in units if (t := get(u)) is not None}
+        tokens |= self.bring_back(units - tokens.keys(), self.known, self.older)
         return tokens, units - tokens.keys()
 
     @staticmethod

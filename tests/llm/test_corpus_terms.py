@@ -182,6 +182,25 @@ def test_encoder_on_odd_texts(library, monkeypatch):
         assert all(len(u if isinstance(u, str) else u[0]) <= speculate.LONGEST for u in e.known)
 
 
+def test_encoder_remembers_within_bounds(monkeypatch):
+    """Four tables of about 400 bytes an entry stay small however many words there are, and a full table's words come back."""
+    assert 4 * speculate.REMEMBERED * 400 <= 200_000_000
+    random.seed(7)
+    monkeypatch.setattr(speculate, "PART", 200)
+    monkeypatch.setattr(speculate, "REMEMBERED", 100)
+    e = speculate.Encoder(TOKENIZER)
+    encode = lambda text: e.encode(f"a {text} a")
+    word = lambda: "".join(random.choices("etaoinshrdlu", k=12))
+    often = "zebra quartz, jigsaw fjord"
+    want, sizes = encode(often), []
+    for _ in range(60):
+        encode(" ".join(word() + random.choice(["", "!x"]) for _ in range(12)))
+        began = e.guessed
+        assert encode(often) == want and e.guessed == began
+        sizes.append(max(map(len, (e.known, e.older, e.known_words, e.older_words))))
+    assert max(sizes) <= 150
+
+
 def test_pairs_by_brute_force():
     """Neighbours are compatible if and only if merging both tokens' bytes gives them again."""
     v = speculate.encoder(TOKENIZER).vocabulary
