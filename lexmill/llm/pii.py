@@ -86,8 +86,7 @@ def passes(kind: str, value: Column) -> Column:
         part = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
         return F.regexp_like(value, F.lit(rf"^{part}(?:\.{part}){{3}}$"))
     if kind == "card":
-        n = F.length(digits(value))
-        return F.when(n.between(13, 19), luhn(digits(value))).otherwise(False)
+        return let(digits(value), lambda d: F.when(F.length(d).between(13, 19), luhn(d)).otherwise(False))
     if kind == "phone":
         return F.length(digits(value)).between(9, 15)
     return F.lit(True)
@@ -146,7 +145,12 @@ def apart(places: Column) -> Column:
 
 def character(c: Column) -> Column:
     """The class of a character: 0 none or white space, 1 letter, 2 digit, 3 other."""
-    return F.when((c == "") | F.regexp_like(c, F.lit(r"\s")), 0).when(F.regexp_like(c, F.lit(r"\p{L}")), 1).when(F.regexp_like(c, F.lit("[0-9]")), 2).otherwise(3)
+    return let(c, lambda c: F.when((c == "") | F.regexp_like(c, F.lit(r"\s")), 0).when(F.regexp_like(c, F.lit(r"\p{L}")), 1).when(F.regexp_like(c, F.lit("[0-9]")), 2).otherwise(3))
+
+
+def last(text: Column, n: int) -> Column:
+    """The last n characters of a text. F.right would write the text's expression twice into the plan, and again at each level of nesting."""
+    return F.substring(text, -n, n)
 
 
 def spans(text: Column, kind: str, pattern: str, needed: Column, keep) -> Column:
@@ -161,15 +165,19 @@ def spans(text: Column, kind: str, pattern: str, needed: Column, keep) -> Column
         gap = F.get(gaps, i)
         start = F.get(starts, i) + F.length(gap)
         lead = F.when(i > 0, F.concat(F.get(gaps, F.greatest(i - 1, F.lit(0))), F.get(matches, F.greatest(i - 1, F.lit(0))))).otherwise("")
-        before = F.right(F.concat(F.right(lead, F.lit(CONTEXT)), F.right(gap, F.lit(CONTEXT))), F.lit(CONTEXT))
+        context = last(F.concat(last(lead, CONTEXT), last(gap, CONTEXT)), CONTEXT)
+        size = F.length(match)
+
+        def fields(before, good, numbers):
+            values = {
+                "kind": F.lit(k), "start": start, "end": start + size, "base": good, "regex": F.when(good, 1).otherwise(-1 if strict else 0), "gazetteer": vote(match, GAZETTEER[kind]), "context": vote(before, CUES[kind]), "shape": vote(match, SHAPE[kind]),
+                "size": F.when(size < 8, 0).when(size < 12, 1).when(size < 16, 2).when(size < 24, 3).otherwise(4), "digits": F.when(numbers == 0, 0).when(numbers < 9, 1).when(numbers < 13, 2).otherwise(3),
+                "left": character(last(before, 1)), "right": character(F.left(F.get(gaps, i + 1), F.lit(1))),
+            }
+            return F.struct(*[v.alias(name) for name, v in values.items()])
+
         good = passes(kind, match) if strict else F.lit(False)
-        size, numbers = F.length(match), F.length(digits(match))
-        fields = {
-            "kind": F.lit(k), "start": start, "end": start + size, "base": good, "regex": F.when(good, 1).otherwise(-1 if strict else 0), "gazetteer": vote(match, GAZETTEER[kind]), "context": vote(before, CUES[kind]), "shape": vote(match, SHAPE[kind]),
-            "size": F.when(size < 8, 0).when(size < 12, 1).when(size < 16, 2).when(size < 24, 3).otherwise(4), "digits": F.when(numbers == 0, 0).when(numbers < 9, 1).when(numbers < 13, 2).otherwise(3),
-            "left": character(F.right(before, F.lit(1))), "right": character(F.left(F.get(gaps, i + 1), F.lit(1))),
-        }
-        return F.struct(*[v.alias(name) for name, v in fields.items()])
+        return let(context, lambda before: let(good, lambda good: let(F.length(digits(match)), lambda numbers: fields(before, good, numbers))))
 
     def found(matches):
         gaps = F.split(text, pattern, -1)

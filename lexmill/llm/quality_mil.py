@@ -6,6 +6,8 @@ gates and classifier are learned together from labels of whole texts.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ PASSAGE, BUCKETS, EXTRA = 512, 512, 9
 SMOOTH = 32
 #: Bytes of text that are encoded at a time.
 SLICE = 1 << 20
+#: Bytes of the sample that are encoded at a time for fitting, which the driver does.
+FIT_SLICE = 1 << 17
 
 
 def byte_classes() -> np.ndarray:
@@ -76,11 +80,12 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([grams, shares * 4], axis=1).astype(np.float32), per
 
 
-def grouped(texts: list[bytes]):
-    """The texts in lists of about SLICE bytes; a longer one stands alone."""
+def grouped(texts: Iterable[bytes], most: int | None = None) -> Iterator[list[bytes]]:
+    """The texts in lists of about most bytes (SLICE, if not given); a longer one stands alone."""
+    most = most or SLICE
     group, size = [], 0
     for t in texts:
-        if group and size + len(t) > SLICE:
+        if group and size + len(t) > most:
             yield group
             group, size = [], 0
         group.append(t)
@@ -89,6 +94,20 @@ def grouped(texts: list[bytes]):
         yield group
 
 
+def sample_passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """passages of all texts, worked out FIT_SLICE bytes at a time into one array (a longer text in slices of whole passages, as decision reads it), so that the driver holds little besides the features."""
+    per = np.array([max(1, -(-len(t.encode()) // PASSAGE)) for t in texts], dtype=np.int64)
+    x = np.empty((int(per.sum()), BUCKETS + EXTRA), dtype=np.float32)
+    at = 0
+    for group in grouped((t.encode() for t in texts), FIT_SLICE):
+        whole = len(group[0]) <= SLICE
+        for part in [group] if whole else ([group[0][k : k + SLICE]] for k in range(0, len(group[0]), SLICE)):
+            found = passages(part)[0]
+            x[at : at + len(found)] = found
+            at += len(found)
+    return x, per
+
+
 def encoded(x: np.ndarray, p: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Passages encoded (h), the two gates, and the attention of each before it is shared out."""
     h = np.tanh(x @ p["E"] + p["e"])
@@ -142,8 +161,7 @@ def fit(sample: list[tuple[str, int]], width: int = 16, gates: int = 8, rounds:
     held = np.arange(len(y)) % 3 == 2
 
     def pick(mask):
-        found = [passages(group) for group in grouped([t.encode() for (t, _), k in zip(sample, mask) if k])]
-        return np.concatenate([x for x, _ in found]), np.concatenate([per for _, per in found])
+        return sample_passages([t for (t, _), k in zip(sample, mask) if k])
 
     (x, per), ty = pick(~held), y[~held]
     pos = max(1.0, float(ty.sum()))

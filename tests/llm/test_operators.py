@@ -6,10 +6,12 @@ import random
 import re
 import struct
 import time
+import tracemalloc
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
@@ -513,3 +515,30 @@ def test_pii_long_texts(spark):
     assert pii.redact(one).first()["text"] == " ".join(["[EMAIL] 😀"] * 20_000)
     long = table(spark, [(1, "x" * 2_040 + " " + "y" * 5_000 + "@b.cc end")])
     assert pii.redact(long).first()["text"] == "x" * 2_040 + " [EMAIL] end"
+
+
+def test_pii_plan_is_written_once(spark):
+    """Spark's optimizer makes the expressions of the search for spans no larger than they are written: the driver holds each plan of them several times."""
+    query = pii.with_candidates(table(spark, [(1, "a@b.cc")]), "text")._jdf.queryExecution()
+
+    def nodes(plan):
+        found = plan.expressions()
+        return sum(found.apply(i).treeString().count("\n") for i in range(found.size()))
+
+    assert nodes(query.optimizedPlan()) <= nodes(query.analyzed())
+
+
+def test_quality_fit_is_bounded_besides_its_features():
+    """Fitting runs on the driver: besides the features of its sample it holds little, and features do not depend on how texts are sliced."""
+    texts = [" ".join(f"word{(i * j) % 89}" for j in range(40 + i % 900)) + "\n" for i in range(1_200)] + ["", "é" * 700]
+    sample = [(t, i % 2) for i, t in enumerate(texts)]
+    tracemalloc.start()
+    try:
+        quality_mil.fit(sample, rounds=1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    x, per = quality_mil.passages([t.encode() for t in texts])
+    assert peak < x.nbytes + (24 << 20)
+    got, got_per = quality_mil.sample_passages(texts)
+    assert np.array_equal(got, x) and np.array_equal(got_per, per)
