@@ -22,7 +22,8 @@ from lexmill.llm.common import in_slices, two_columns
 #: Fixed value: the published pattern of byte-level BPE pre-tokenization.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words and pieces, of at most LONGEST characters, that each of a worker's tables and its older one hold; an entry takes about 120 bytes, so that all take 150 MB at most.
-REMEMBERED, LONGEST = 200_000, 64
+#: ENCODED is that number where ids are kept, which are longer, and a piece that was forgotten costs less than in counting: its merges are compiled code.
+REMEMBERED, LONGEST, ENCODED = 200_000, 64, 50_000
 
 
 def byte_symbols() -> list[str]:
@@ -77,9 +78,9 @@ def merges_of(data: bytes, ranks: dict[int, int]) -> int:
 class Remembered(dict):
     """The value of make(key), made when first asked for. When the table is full it becomes the older one, from which keys that are asked for again come back."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.size, self.older = make, 0, {}
+        self.make, self.most, self.size, self.older = make, most, 0, {}
 
     def __missing__(self, key: str):
         value = self.older.get(key)
@@ -89,7 +90,7 @@ class Remembered(dict):
                 return value
         self[key] = value
         self.size += 1
-        if self.size >= REMEMBERED:
+        if self.size >= self.most:
             self.older, self.size = dict(self), 0
             self.clear()
         return value
@@ -100,21 +101,21 @@ class Unsafe(Exception):
 
 
 class Pieces:
-    """Walks a text's pieces. piece_value: of one piece; total: of a list of values; special_value: of a special string's id.
+    """Walks a text's pieces. piece_value: of one piece; total: of a list of values; special_value: of a special string's id; most: entries that each table remembers.
 
     A space or line end between two other characters always ends a piece, so most texts are cut there by str.split and
     the pattern only runs on words not seen before. A text with longer white space goes through the pattern whole.
     """
 
-    def __init__(self, path: str, piece_value, total, special_value):
+    def __init__(self, path: str, piece_value, total, special_value, most: int):
         spec = json.load(open(path, encoding="utf-8"))
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
         self.special = {s: special_value(i) for s, i in special.items()}
         self.total, self.pieces = total, regex.compile(PATTERN).findall
-        self.piece_value, self.known = piece_value, Remembered(piece_value)
-        self.first = Remembered(lambda word: self.word("", word))
-        self.later = Remembered(lambda word: self.word(" ", word))
+        self.piece_value, self.known = piece_value, Remembered(piece_value, most)
+        self.first = Remembered(lambda word: self.word("", word), most)
+        self.later = Remembered(lambda word: self.word(" ", word), most)
         self.line_end = self.known["\n"]
 
     def word(self, space: str, word: str):
@@ -175,7 +176,7 @@ def counter(path: str):
         data = piece.encode()
         return len(data) - merges_of(data, ranks)
 
-    return Pieces(path, count, sum, lambda i: 1).of
+    return Pieces(path, count, sum, lambda i: 1, REMEMBERED).of
 
 
 @lru_cache(maxsize=2)
@@ -193,7 +194,7 @@ def encoder(path: str):
             found.byteswap()
         return found.tobytes()
 
-    return Pieces(path, ids, b"".join, lambda i: struct.pack("<I", i)).of
+    return Pieces(path, ids, b"".join, lambda i: struct.pack("<I", i), ENCODED).of
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.bpe import encoder
-from lexmill.llm.common import materialize, two_columns
+from lexmill.llm.common import mapped, materialize, two_columns
 
 #: Rows that one ranking group should have, and the fewest groups that a length is dealt over.
 RANKED_TOGETHER, LEAST_SALTS = 100_000, 256
@@ -221,7 +221,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     two = two_columns(docs, id_col, text_col)
-    return two.mapInArrow(cut, f"doc_id {two.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return mapped(two, cut, f"doc_id {two.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(cut: DataFrame, capacity: int = 2048, groups: tuple[int, ...] = (8, 24, 64, 120, 300)) -> DataFrame:

@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.calibrate import platt, sigmoid
-from lexmill.llm.common import in_slices, labelled_sample, two_columns
+from lexmill.llm.common import in_slices, labelled_sample, mapped, two_columns
 
 #: Bytes in a passage; hashed three-byte buckets of its features, besides which it has EXTRA shares.
 PASSAGE, BUCKETS, EXTRA = 512, 512, 9
 #: Added to each passage's number of buckets' hits, so that very short texts stay near zero instead of at the extremes.
 SMOOTH = 32
-#: Bytes of text that are encoded at a time.
-SLICE = 1 << 20
+#: Bytes of a longer text that are encoded at a time, and of several texts that are scored together.
+SLICE, SCORED = 1 << 20, 1 << 18
 #: Bytes of the sample that are encoded at a time for fitting, which the driver does.
 FIT_SLICE = 1 << 17
 
@@ -80,9 +80,8 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([grams, shares * 4], axis=1).astype(np.float32), per
 
 
-def grouped(texts: Iterable[bytes], most: int | None = None) -> Iterator[list[bytes]]:
-    """The texts in lists of about most bytes (SLICE, if not given); a longer one stands alone."""
-    most = most or SLICE
+def grouped(texts: Iterable[bytes], most: int) -> Iterator[list[bytes]]:
+    """The texts in lists of about most bytes; a longer one stands alone."""
     group, size = [], 0
     for t in texts:
         if group and size + len(t) > most:
@@ -181,7 +180,7 @@ def fit(sample: list[tuple[str, int]], width: int = 16, gates: int = 8, rounds:
 def scores(texts: list[bytes], model: dict) -> np.ndarray:
     """Probability of quality 1 of each text, worked out over slices of bounded size."""
     slope, shift = model["platt"]
-    found = [np.array([decision(group[0], model)]) if len(group[0]) > SLICE else forward(*passages(group), model)["s"] for group in grouped(texts)]
+    found = [np.array([decision(group[0], model)]) if len(group[0]) > SLICE else forward(*passages(group), model)["s"] for group in grouped(texts, min(SCORED, SLICE))]
     return sigmoid(slope * np.concatenate(found) + shift) if found else np.zeros(0)
 
 
@@ -200,11 +199,11 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
         import pyarrow as pa
 
         for b in batches:
-            found = [scores(texts, model) for texts in in_slices(b.column(1), SLICE)]
+            found = [scores(texts, model) for texts in in_slices(b.column(1), SCORED)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(found) if found else [], pa.float64())], names=["doc_id", "score"])
 
     two = two_columns(docs, id_col, text_col)
-    return two.mapInArrow(run, f"doc_id {two.schema['doc_id'].dataType.simpleString()}, score double")
+    return mapped(two, run, f"doc_id {two.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def accepted(docs: DataFrame, model: dict, threshold: float, text_col: str = "text") -> DataFrame:
@@ -218,7 +217,7 @@ def accepted(docs: DataFrame, model: dict, threshold: float, text_col: str = "te
         import pyarrow as pa
 
         for b in batches:
-            found = [scores(texts, model) for texts in in_slices(b.column(at).cast(pa.string()), SLICE)]
+            found = [scores(texts, model) for texts in in_slices(b.column(at).cast(pa.string()), SCORED)]
             yield b.filter(pa.array(np.concatenate(found) >= threshold if found else [], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return mapped(docs, keep, docs.schema)

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import materialize, two_columns
+from lexmill.llm.common import in_slices, mapped, materialize, two_columns
 
 BITS = 64
 #: Shingles whose bits are counted at a time.
@@ -42,11 +42,11 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, id_col: str =
         import pyarrow as pa
 
         for b in batches:
-            values = [0 if t is None else fingerprint(t, width, seed) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            values = [fingerprint(t, width, seed) for texts in in_slices(b.column(1)) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.int64())], names=["doc_id", "fp"])
 
     two = two_columns(docs, id_col, text_col)
-    return two.mapInArrow(of, f"doc_id {two.schema['doc_id'].dataType.simpleString()}, fp long")
+    return mapped(two, of, f"doc_id {two.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def block_masks(distance: int, blocks: int) -> list[int]:

@@ -542,3 +542,49 @@ def test_quality_fit_is_bounded_besides_its_features():
     assert peak < x.nbytes + (24 << 20)
     got, got_per = quality_mil.sample_passages(texts)
     assert np.array_equal(got, x) and np.array_equal(got_per, per)
+
+
+def test_batches_of_whole_texts_are_bounded(spark):
+    """A worker gets about BATCH_BYTES at a time, not all rows of a partition."""
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    texts = spark.range(0, 3_000, 1, 1).select(F.expr("repeat('word ', 800)").alias("text"))
+    got = common.mapped(texts, sizes, "n long, size long").collect()
+    assert sum(r["n"] for r in got) == 3_000 and max(r["size"] for r in got) < 1.2 * common.BATCH_BYTES
+
+
+def test_quality_scores_few_texts_at_a_time(monkeypatch):
+    """Features are made of a quarter of a megabyte at a time, with the scores of one pass over all texts."""
+    texts = [("word%d " % (i % 17) * (40 + i)).encode() for i in range(1_500)]
+    model = quality_mil.fit([("good text here", 1), ("bad", 0), ("more of it", 1)], rounds=2)
+    slope, shift = model["platt"]
+    whole = quality_mil.sigmoid(slope * quality_mil.forward(*quality_mil.passages(texts), model)["s"] + shift)
+    real, seen = quality_mil.passages, []
+    monkeypatch.setattr(quality_mil, "passages", lambda group: seen.append(sum(map(len, group))) or real(group))
+    assert np.allclose(quality_mil.scores(texts, model), whole, atol=1e-6)
+    assert sum(seen) == sum(map(len, texts)) and max(seen) <= 1 << 18
+
+
+def test_index_terms_start_no_python(spark):
+    """The row of the lengths' term comes from Spark itself; rows made of Python values would pass through Python workers."""
+    terms = spark.range(2).select(F.concat(F.lit("t"), F.col("id")).alias("term"))
+    with_length = decontamination.with_length(terms)
+    assert sorted(r["term"] for r in with_length.collect()) == ["", "t0", "t1"]
+    assert "ExistingRDD" not in with_length._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ids_do_not_depend_on_what_is_remembered(monkeypatch):
+    """Tables of ids hold ENCODED entries each, and as many older ones, however many words there are."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "ENCODED", 20)
+    encode = bpe.encoder.__wrapped__(TOKENIZER)
+    words = " ".join(f"w{i * i % 91}ord, {chr(97 + i % 26) * (i % 7 + 1)}" for i in range(500))
+    assert encode(words) == struct.pack(f"<{len(x := Tokenizer.from_file(TOKENIZER).encode(words, add_special_tokens=False).ids)}I", *x)
+    tables = encode.__self__
+    assert all(len(t) <= 20 and len(t.older) <= 20 for t in (tables.known, tables.first, tables.later))
