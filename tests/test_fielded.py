@@ -117,3 +117,43 @@ def test_words_are_counted_where_rows_are_read(spark, monkeypatch):
     impact = lambda weight, tf, length, mean: weight * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))
     want = {(i, "c"): impact(1, 1, i + 1, 3) for i in range(5)} | {(i, "a"): impact(3, 1, 2, 0.8) for i in (1, 3)} | {(i, "b"): (impact(3, 1, 2, 0.8) if i % 2 else 0) + impact(1, i, i + 1, 3) for i in range(1, 5)}
     assert {(r["id"], r["term"]): pytest.approx(r["impact"]) for r in spark.read.parquet(f"{path}/postings").collect()} == want
+
+
+def test_no_row_for_each_query_and_row_found(spark, index):
+    """Many queries for frequent terms shuffle postings and first rows only; before, each query's share in each row that it finds was a shuffled row."""
+    rows, path = index
+    asked = spark.range(300).selectExpr("id AS query", "'the of w1' AS text")
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    written = lambda: {s.stageId(): s.shuffleWriteRecords() for s in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, none, None))}
+    before = written()
+    got = [(r["index"], r["id"]) for r in fielded.search_many(spark, path, asked, 2).where("query = 299").orderBy("index", "rank").collect()]
+    assert got == [(i, d) for i, c in sorted(scores(rows, "the of w1").items()) for d, _ in sorted(((d, round(s, 9)) for d, s in c.items()), key=lambda x: (-x[1], x[0]))[:2]]
+    pairs = 300 * sum(len(c) for c in scores(rows, "the of w1").values())
+    assert 0 < sum(n for stage, n in written().items() if stage not in before) < pairs / 5
+
+
+def test_small_parts_and_groups(spark, index, monkeypatch):
+    """Rows and queries that meet in many parts and groups give what they give together."""
+    rows, path = index
+    for name, value in (("LEAST_PART", 50), ("MOST_PART", 50), ("PART_PAIRS", 5)):
+        monkeypatch.setattr(fielded, name, value)
+    asked = spark.createDataFrame([(str(q), t) for q, t in QUERIES.items()], "query string, text string")
+    got = defaultdict(list)
+    for r in fielded.search_many(spark, path, asked, 3).orderBy("query", "index", "rank").collect():
+        got[int(r["query"]), r["index"]].append((r["id"], r["score"]))
+    want = {(q, i): [(d, pytest.approx(s, abs=1e-8)) for d, s in sorted(((d, round(s, 9)) for d, s in c.items()), key=lambda x: (-x[1], x[0]))[:3]] for q, text in QUERIES.items() for i, c in scores(rows, text).items()}
+    assert dict(got) == want
+
+
+def test_index_of_asked_terms(spark):
+    """Only their postings are stored; frequencies, lengths and so the scores are those of the whole index."""
+    docs = spark.createDataFrame([(i, "x " * (i % 3) + "y z " * (i % 5)) for i in range(40)] + [(50, None)], "id int, text string")
+    asked = spark.createDataFrame([(1, "y X"), (2, "unheard")], "query int, text string")
+    terms = spark.createDataFrame([("x",), ("y",), ("y",), ("unheard",)], "term string")
+    found = []
+    for known in (None, terms):
+        path = tempfile.mkdtemp(prefix="spark-") + "/index"
+        fielded.build(docs, path, {"text": 1.0}, terms=known)
+        found.append([tuple(r) for r in fielded.search_many(spark, path, asked, 5).orderBy("query", "rank").collect()])
+    assert found[0] == found[1] and len(found[0]) == 5
+    assert {r["term"] for r in spark.read.parquet(f"{path}/postings").collect()} == {"x", "y"}
