@@ -238,6 +238,17 @@ def test_proximity(spark):
     assert {r["doc_id"]: (r["n_near"], r["n_hit"]) for r in got.collect()} == {1: (1, 0), 2: (0, 0), 3: (0, 0)}
 
 
+def test_last_window_that_cannot_occur(spark):
+    """An item's last window with a word that no text has is not near, and the window before it does not count in its place; with step 1 all windows count."""
+    item = [f"w{k}" for k in range(20)]
+    docs = spark.createDataFrame([(1, " ".join(item[:19])), (2, " ".join(reversed(item[:19]))), (3, " ".join(item[:12]))], "doc_id int, text string")
+    benchmark = spark.createDataFrame([(1, " ".join(item[:19] + ["unheard"]))], "item_id int, text string")
+    near = lambda **kw: {r["doc_id"]: r["n_near"] for r in decontamination.contamination(docs, benchmark, **kw).collect()}
+    assert near() == {1: 1, 2: 1, 3: 0}
+    assert near(step=1) == {1: 7, 2: 7, 3: 0}
+    assert near(step=4) == {1: 2, 2: 2, 3: 0}
+
+
 def test_quality_rules_counts(spark):
     random.seed(4)
     for _ in range(200):
